@@ -53,8 +53,9 @@ def running(df: DataFrame, seq: str, **columns: tuple[str, Column | str]) -> Dat
     over = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     outer = {"count": F.sum}
     carried = totals.select("_range", *(outer.get(k, _FOLD[k][0])(f"_t_{n}").over(over).alias(f"_c_{n}") for n, (k, _) in columns.items()))
-    out = dealt.select("*", *(_FOLD[k][0](c).over(w).alias(n) for n, (k, c) in columns.items())).join(F.broadcast(carried), "_range")
-    return out.withColumns({n: _FOLD[k][1](F.col(n), F.col(f"_c_{n}")) for n, (k, _) in columns.items()}).drop("_range", *(f"_c_{n}" for n in columns))
+    out = dealt.select("*", *(_FOLD[k][0](c).over(w).alias(f"_l_{n}") for n, (k, c) in columns.items())).join(F.broadcast(carried), "_range")
+    out = out.withColumns({n: _FOLD[k][1](F.col(f"_l_{n}"), F.col(f"_c_{n}")) for n, (k, _) in columns.items()})
+    return out.drop("_range", *(f"_{x}_{n}" for n in columns for x in "lc"))
 
 
 def halo(df: DataFrame, pos: str, n: int, block: int | None = None) -> tuple[DataFrame, Column, str]:

@@ -113,7 +113,7 @@ def zip_sides(n_sides: int) -> Step:
 
 
 def run_bounded(df: DataFrame, seq: str, step: Step, result: str, value: Callable[[dict], Any], key: str | None = None) -> DataFrame:
-    """(key, seq, k, result) of each result; k counts results of one element."""
+    """(key, seq, nth, result) of each result; nth counts results of one element."""
     kind = f"{key} {df.schema[key].dataType.simpleString()}, " if key else ""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -121,9 +121,10 @@ def run_bounded(df: DataFrame, seq: str, step: Step, result: str, value: Callabl
         for row in frame.sort_values(seq).to_dict("records"):
             state, out = step(state, value(row))
             rows += [(*((row[key],) if key else ()), row[seq], k, r) for k, r in enumerate(out)]
-        return pd.DataFrame(rows, columns=[*((key,) if key else ()), "seq", "k", "result"])
+        return pd.DataFrame(rows, columns=[*((key,) if key else ()), "seq", "nth", "result"])
 
-    return df.groupBy(*((key,) if key else (F.lit(1),))).applyInPandas(run, f"{kind}seq {df.schema[seq].dataType.simpleString()}, k int, result {result}")
+    grouped = df.groupBy(key) if key else df.withColumn("_all", F.lit(1)).groupBy("_all")
+    return grouped.applyInPandas(run, f"{kind}seq {df.schema[seq].dataType.simpleString()}, nth int, result {result}")
 
 
 def run_stream(df: DataFrame, seq: str, step: Step, result: str, value: Callable[[dict], Any], key: str) -> DataFrame:
@@ -141,10 +142,10 @@ def run_stream(df: DataFrame, seq: str, step: Step, result: str, value: Callable
                 state, got = step(state, value(row))
                 out += [(row[key], row[seq], j, r) for j, r in enumerate(got)]
             self.state.update((pickle.dumps(state),))
-            yield pd.DataFrame(out, columns=[key, "seq", "k", "result"])
+            yield pd.DataFrame(out, columns=[key, "seq", "nth", "result"])
 
         def close(self) -> None:
             pass
 
-    kind = f"{key} {df.schema[key].dataType.simpleString()}, seq {df.schema[seq].dataType.simpleString()}, k int, result {result}"
+    kind = f"{key} {df.schema[key].dataType.simpleString()}, seq {df.schema[seq].dataType.simpleString()}, nth int, result {result}"
     return df.groupBy(key).transformWithStateInPandas(Processor(), outputStructType=kind, outputMode="append", timeMode="none")

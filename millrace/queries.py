@@ -60,7 +60,7 @@ E = f"(select *, value::decimal(18,2) as v, event_id // {BATCH} as b from events
 @query("select event_type, round(avg(v)::double, 7) as mean_value, count(*) as n from " + E + " where v > 10 group by 1")
 def flow_filter_groupby_mean(s, d):
     f = events(s, d).filter("value > 10").to_frame()
-    return f.df.groupBy("event_type").agg(dbl(F.avg("value")).alias("mean_value"), F.count("*").alias("n"))
+    return f.df.groupBy("event_type").agg(dbl(F.avg(F.col("value").cast("double"))).alias("mean_value"), F.count("*").alias("n"))
 
 
 @query("select event_id, (v*2+1)::double as y from " + E)
@@ -493,7 +493,7 @@ def resume_groupby(s, d):
     f = frame(s, d, "event_type", "value")
     half = f._next(f.df.where("event_id < 500")).state("event_type")
     t = f._next(f.df.where("event_id >= 500")).state("event_type", start=half)
-    return t.select("event_type", F.col("value_n").alias("n"), F.col("value_sum").cast("double").alias("total"), dbl(F.col("value_sum") / F.col("value_n")).alias("mean_value"))
+    return t.select("event_type", F.col("value_n").alias("n"), F.col("value_sum").cast("double").alias("total"), dbl(F.col("value_sum").cast("double") / F.col("value_n")).alias("mean_value"))
 
 
 @query("select event_id, sum(user_id) over (partition by event_type order by event_id)::bigint as total from events")
