@@ -10,10 +10,11 @@ that is not empty. A pair therefore meets in a bucket of equal blocks, however f
 passage that many documents share fills hardly any block alone. Within a bucket
 
 1. every member is verified against a hub (bound first, then sets), and links are contracted to components;
-2. in buckets of three or more members that still hold several components, an R-tree over the members' points finds,
-   for each member outside the largest component, all partners in other components whose bound suffices; these are
-   verified too. So no link between components is lost, and the members of a large group of near copies are never
-   paired with each other once they are connected.
+2. in buckets of three or more that still hold several components, an R-tree over the members' points finds, for each
+   member outside the largest component, the partners in other components whose bound suffices. They are verified
+   best bound first, 4, then 64, then 1024 ... a member, until it is connected or no partner is left. So no link
+   between components is lost, and members of a large group of near copies are not paired with each other once they
+   are connected.
 
 Equal sets are one node from the start (a map-side pass emits each once a task). Nodes are 64-bit set hashes for
 routing; texts are compared by their own shingle hashes.
@@ -159,31 +160,41 @@ def point(s: np.ndarray) -> np.ndarray:
 
 
 class CountTree:
-    """Packed R-tree over count vectors. A node keeps its members' largest coordinates and least size."""
-
-    def __init__(self, points: np.ndarray, fan: int = 32):
-        self.points, self.size = points, points.sum(1)
-        self.order = np.lexsort((points[:, 1], points[:, 0], self.size))  # tiles by size, then by leading coordinates
-        self.levels = []
-        top, small, large = points[self.order], self.size[self.order], self.size[self.order]
-        while len(top) > 1:
-            cut = np.arange(0, len(top), fan)
-            top, small, large = np.maximum.reduceat(top, cut), np.minimum.reduceat(small, cut), np.maximum.reduceat(large, cut)
-            self.levels.append((top, small, large))
-        self.fan = fan
-
-    def search(self, p: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-        """Members whose summed coordinate minima with ``p`` suffice for a link, and these sums."""
-        n = int(p.sum())
-        nodes = np.zeros(1, np.int64)
-        for top, small, large in reversed(self.levels):
-            nodes = nodes[nodes < len(top)]
-            fits = (np.minimum(top[nodes], p).sum(1) >= rule.needed(n + small[nodes])) & (large[nodes] * rule.den >= rule.num * n) & (n * rule.den >= rule.num * small[nodes])
-            nodes = (nodes[fits][:, None] * self.fan + np.arange(self.fan)).ravel()
-        at = self.order[nodes[nodes < len(self.order)]]
-        bound = np.minimum(self.points[at], p).sum(1)
-        good = bound >= rule.needed(n + self.size[at])
-        return at[good], bound[good]
+    """Packed R-tree over count vectors: pages of members in order of size and leading coordinates, and above them
+    each page's largest coordinates and its range of sizes. Queries go down in blocks, so that a page is compared with
+    all queries that reach it at once."""
+
+    def __init__(self, points: np.ndarray, page: int = 64):
+        self.size = points.sum(1, dtype=np.int64)
+        self.kind = np.uint16 if not len(points) or self.size.max() < 65_536 else np.int64
+        self.order = np.lexsort((points[:, 1], points[:, 0], self.size))
+        self.columns = np.ascontiguousarray(points[self.order].T.astype(self.kind))  # a row a coordinate
+        self.cut = np.arange(0, len(points), page)
+        self.top = np.maximum.reduceat(self.columns, self.cut, axis=1)
+        small = self.size[self.order]
+        self.low, self.high = np.minimum.reduceat(small, self.cut), np.maximum.reduceat(small, self.cut)
+        self.page = page
+
+    def _bound(self, queries: np.ndarray, others: np.ndarray) -> np.ndarray:
+        return np.minimum(queries[:, :, None], others[:, None, :]).sum(0, dtype=self.kind).astype(np.int64)
+
+    def search(self, ask: np.ndarray, rule: Rule, block: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, member, slack) of members whose summed coordinate minima with a query suffice for a link; queries
+        are members too, and are not paired with themselves. slack: the sum above what is needed."""
+        place = np.empty(len(self.order), np.int64)
+        place[self.order] = np.arange(len(self.order))
+        for i in range(0, len(ask), block):
+            rows = ask[i : i + block]
+            q, n = self.columns[:, place[rows]], self.size[rows]
+            fits = self._bound(q, self.top) >= rule.needed(n[:, None] + self.low)
+            fits &= (self.high * rule.den >= rule.num * n[:, None]) & (n[:, None] * rule.den >= rule.num * self.low)
+            for k in np.flatnonzero(fits.any(0)):
+                some = np.flatnonzero(fits[:, k])
+                members = self.order[self.cut[k] : self.cut[k] + self.page]
+                slack = self._bound(q[:, some], self.columns[:, self.cut[k] : self.cut[k] + self.page]) - rule.needed(n[some, None] + self.size[members])
+                x, y = np.nonzero(slack >= 0)
+                own = rows[some[x]] != members[y]
+                yield rows[some[x[own]]], members[y[own]], slack[x[own], y[own]]
 
 
 def _verify(rule: Rule):
@@ -228,30 +239,48 @@ def verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     return rows.select("hub", "part", "k1", "text").mapInArrow(_verify(rule), "a long, b long")
 
 
-def _across(rule: Rule):
+#: Partners of a member that are verified first.
+FIRST = 4
+
+
+def _across(rule: Rule, most: int):
     def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        """One bucket (sig, k1, comp, point): pairs of different components whose bound suffices."""
+        """One bucket (sig, k1, comp, ask, point): pairs of different components whose bound suffices, the ``most``
+        best of each member asked for, at first of all outside the largest component. A member that has more comes
+        as a pair with itself."""
         frame = frame.drop_duplicates("k1")
-        comp, k = frame["comp"].to_numpy(), frame["k1"].to_numpy()
+        comp, k, ask = frame["comp"].to_numpy(), frame["k1"].to_numpy(), frame["ask"].to_numpy(bool)
         values, counts = np.unique(comp, return_counts=True)
-        rest = np.flatnonzero(comp != values[counts.argmax()])
-        pts = np.stack([np.frombuffer(p, np.uint16) for p in frame["point"]]).astype(np.int64)
-        tree, a, b = CountTree(pts), [], []
-        for i in rest:
-            at, _ = tree.search(pts[i], rule)
-            at = at[comp[at] != comp[i]]
-            a += [k[i]] * len(at)
-            b += list(k[at])
-        out = pd.DataFrame({"hub": a, "k1": b}, dtype="int64")
-        return pd.DataFrame({"hub": out.min(axis=1), "k1": out.max(axis=1)}, dtype="int64")
+        rest = np.flatnonzero(ask & (comp != values[counts.argmax()])) if most == FIRST else np.flatnonzero(ask)
+        tree = CountTree(np.stack([np.frombuffer(p, np.uint16 if len(p) == 2 * GROUPS else np.uint32) for p in frame["point"]]))
+        got = [(x[o], y[o], z[o]) for x, y, z in tree.search(rest, rule) if (o := comp[x] != comp[y]).any()]
+        if not got:
+            return pd.DataFrame({"hub": [], "k1": []}, dtype="int64")
+        x, y, slack = (np.concatenate(c) for c in zip(*got, strict=True))
+        order = np.lexsort((k[y], -slack, x))
+        x, y = x[order], y[order]
+        rank = np.arange(len(x)) - np.searchsorted(x, x)
+        more = x[rank == most]
+        a, b = np.concatenate((k[x[rank < most]], k[more])), np.concatenate((k[y[rank < most]], k[more]))
+        return pd.DataFrame({"hub": np.minimum(a, b), "k1": np.maximum(a, b)})
 
     return run
 
 
+def _apart(buckets: DataFrame, comp: DataFrame) -> DataFrame:
+    """Rows (sig, k1, comp) of buckets of three or more members in several components."""
+    n = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = buckets.join(sized_broadcast(comp.withColumnRenamed("node", "k1")), "k1", "left").select("sig", "k1", F.coalesce("comp", "k1").alias("comp"))
+    rows = rows.repartition(n, "sig")  # one exchange for the count and the join
+    apart = rows.groupBy("sig").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("size > 2 and lo != hi").select("sig")
+    return keep(rows.join(apart, "sig", "left_semi"), "apart")
+
+
 def _points(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pts = [np.minimum(point(s), 65535).astype(np.uint16).tobytes() for s in sets(batch.column("text"), rule)]
+            counts = [point(s) for s in sets(batch.column("text"), rule)]
+            pts = [c.astype(np.uint16 if c.max() < 65_536 else np.uint32).tobytes() for c in counts]
             yield pa.RecordBatch.from_arrays([batch.column("k1"), pa.array(pts, pa.binary())], ["k1", "point"])
 
     return run
@@ -285,21 +314,23 @@ def similarity_groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_i
     links = keep(verified(pairs, texts, rule), "links")
     comp = keep(components(links), "comps")
 
-    # What the hubs left apart: buckets of three or more with several components.
-    label = F.coalesce("comp", "k1")
-    rows = buckets.join(comp.withColumnRenamed("node", "k1"), "k1", "left").select("sig", "k1", label.alias("comp"))
-    apart = rows.groupBy("sig").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("size > 2 and lo != hi").select("sig")
-    rows = keep(rows.join(apart, "sig", "left_semi"), "apart")
-    if rows.limit(1).count():
+    rows, most = _apart(buckets, comp).withColumn("ask", F.lit(True)), FIRST
+    while rows.limit(1).count():
         points = texts.join(sized_broadcast(keep(rows.select("k1").distinct(), "left")), "k1").mapInArrow(_points(rule), "k1 long, point binary")
-        found = rows.join(points, "k1").groupBy("sig").applyInPandas(_across(rule), "hub long, k1 long").distinct()
+        found = rows.join(points, "k1").groupBy("sig").applyInPandas(_across(rule, most), "hub long, k1 long").distinct()
         found = keep(found.join(pairs, ["hub", "k1"], "left_anti"), "across")
-        links = keep(links.union(verified(found, texts, rule)), "links")
+        new = found.where("hub != k1")
+        links = keep(links.union(verified(new, texts, rule)), "links")
+        pairs = keep(pairs.union(new), "pairs")
         comp = keep(components(links), "comps")
+        more = sized_broadcast(keep(found.where("hub = k1").select("k1", F.lit(True).alias("ask")), "more"))
+        rows = _apart(rows.select("sig", "k1"), comp).join(more, "k1", "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
+        rows = keep(rows.join(rows.where("ask").select("sig").distinct(), "sig", "left_semi"), "apart")
+        most *= 16
 
     # A document id stands for its sets, a component for the least id in it.
     class_id = scan.where("n > 0 and doc_id is not null").select("k1", "doc_id").join(comp.withColumnRenamed("node", "k1"), "k1", "left")
-    least = class_id.groupBy(label.alias("comp")).agg(F.min("doc_id").alias("component_id"))
+    least = class_id.groupBy(F.coalesce("comp", "k1").alias("comp")).agg(F.min("doc_id").alias("component_id"))
     named = comp.join(least, "comp").select(F.col("node").alias("k1"), "component_id")
     single = scan.where("n > 0 and doc_id is not null").groupBy("k1").agg(F.min("doc_id").alias("own"))
     names = single.join(named, "k1", "left").select("k1", F.coalesce("component_id", "own").alias("component_id"))
