@@ -268,11 +268,20 @@ def _across(rule: Rule, most: int):
 
 
 def _apart(buckets: DataFrame, comp: DataFrame) -> DataFrame:
-    """Rows (sig, k1, comp) of buckets of three or more members in several components."""
+    """Rows (sig, k1, comp) of buckets of three or more members in several components; of buckets with the same members
+    (by two 64-bit hashes of the set) one."""
     n = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = buckets.join(sized_broadcast(comp.withColumnRenamed("node", "k1")), "k1", "left").select("sig", "k1", F.coalesce("comp", "k1").alias("comp"))
     rows = rows.repartition(n, "sig")  # one exchange for the count and the join
-    apart = rows.groupBy("sig").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("size > 2 and lo != hi").select("sig")
+    whole = rows.groupBy("sig").agg(
+        F.count("*").alias("size"),
+        F.min("comp").alias("lo"),
+        F.max("comp").alias("hi"),
+        F.bit_xor(F.xxhash64("k1")).alias("x"),
+        F.bit_xor(F.xxhash64(F.lit(1), "k1")).alias("y"),
+    )
+    apart = whole.where("size > 2 and lo != hi").groupBy("size", "x", "y").agg(F.min("sig").alias("sig")).select("sig")
+    apart = sized_broadcast(keep(apart, "sigs"))
     return keep(rows.join(apart, "sig", "left_semi"), "apart")
 
 
