@@ -29,6 +29,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,35 +102,63 @@ def signatures(s: np.ndarray, rule: Rule) -> list[np.ndarray]:
 SEEN = 500_000
 
 
+#: What a row that stands for a document carries; rows that stand for a signature have none.
+DOC = pa.struct([("doc_id", pa.int64()), ("code", pa.int64()), ("n", pa.int64())])
+ROW = "sig long, k1 long, doc struct<doc_id: long, code: long, n: long>"
+
+#: Signatures that a task gathers before it sends them.
+SEND = 200_000
+
+
 def _scan(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each document, dealt out by its place, and rows (sig, k1) of its set."""
         seen: set[int] = set()
+        place = 0
         for batch in batches:
-            n, k1, sig = [], [], []
-            for s in sets(batch.column("text"), rule):
-                n.append(len(s))
-                a = int(as_long(mix(s).sum(keepdims=True))[0]) if len(s) else 0
-                k1.append(a)
-                if not len(s) or a in seen:
-                    sig.append(None)
+            n, k1 = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            sig, own, total = [], [], 0
+            named = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            for d, s in enumerate(sets(batch.column("text"), rule)):
+                n[d] = len(s)
+                k1[d] = a = int(as_long(mix(s).sum(keepdims=True))[0]) if len(s) else 0
+                if not len(s) or not named[d] or a in seen:
                     continue
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(a)
-                sig.append(as_long(np.concatenate([np.zeros(0, np.uint64), *signatures(s, rule)])))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("code"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(sig, pa.list_(pa.int64()))],
-                ["doc_id", "code", "n", "k1", "sig"],
-            )
+                new = signatures(s, rule)
+                sig += new
+                total += sum(map(len, new))
+                own.append((a, total))
+                if total >= SEND:
+                    yield _sent(sig, own)
+                    sig, own, total = [], [], 0
+            if own:
+                yield _sent(sig, own)
+            deal = as_long(mix(np.arange(place, place + len(n), dtype=np.uint64) ^ mix(k1.view(U))))
+            place += len(n)
+            doc = pa.StructArray.from_arrays([batch.column("doc_id"), batch.column("code"), pa.array(n)], fields=list(DOC))
+            yield pa.RecordBatch.from_arrays([pa.array(deal), pa.array(k1), doc], ["sig", "k1", "doc"])
 
     return run
 
 
+def _sent(sig: list[np.ndarray], own: list[tuple[int, int]]) -> pa.RecordBatch:
+    k1, end = (np.array(c, np.int64) for c in zip(*own, strict=True))
+    flat = as_long(np.concatenate(sig))
+    return pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(k1, np.diff(end, prepend=0))), pa.nulls(len(flat), DOC)], ["sig", "k1", "doc"])
+
+
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (sig, k1) sorted by sig, k1: members of buckets with two sets or more, each with its bucket's hub."""
+    """Rows sorted by sig, k1: members of buckets with two sets or more, each with its bucket's hub; and the documents."""
     lone = np.zeros((2, 0), np.int64)  # the last row, if its bucket has no other so far
     opened = hub = last = None  # the last bucket, if its rows have been sent; its hub and last member
     for batch in batches:
+        is_doc = batch.column("doc").is_valid()
+        docs, batch = batch.filter(is_doc), batch.filter(pc.invert(is_doc))
+        if docs.num_rows:
+            yield docs.append_column("hub", pa.nulls(docs.num_rows, pa.int64()))
         rows = np.concatenate((lone, np.stack([batch.column("sig").to_numpy(), batch.column("k1").to_numpy()])), axis=1)
         if not rows.shape[1]:
             continue
@@ -148,7 +177,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             opened, hub, last, lone = sig[-1], hubs[-1], k[-1], np.zeros((2, 0), np.int64)
         else:
             opened, lone = None, np.array([[sig[-1]], [k[-1]]])
-        yield pa.RecordBatch.from_arrays([pa.array(sig[many]), pa.array(k[many]), pa.array(hubs[group][many])], ["sig", "k1", "hub"])
+        yield pa.RecordBatch.from_arrays([pa.array(sig[many]), pa.array(k[many]), pa.nulls(int(many.sum()), DOC), pa.array(hubs[group][many])], ["sig", "k1", "doc", "hub"])
 
 
 GROUPS = 128
@@ -306,13 +335,10 @@ def similarity_groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_i
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     base = base.withColumn("code", F.xxhash64("text"))
-    scan = keep(base.mapInArrow(_scan(rule), "doc_id long, code long, n long, k1 long, sig array<long>"), "sets")
-
-    exploded = scan.where("sig is not null and doc_id is not null").select(F.explode("sig").alias("sig"), "k1")
-    buckets = keep(
-        exploded.repartition(n, "sig").sortWithinPartitions("sig", "k1").mapInArrow(_buckets, "sig long, k1 long, hub long"),
-        "buckets",
-    )
+    # One exchange takes signatures to their buckets and documents along, so signatures are not stored before it.
+    rows = base.mapInArrow(_scan(rule), ROW).repartition(n, "sig").sortWithinPartitions("sig", "k1")
+    both = keep(rows.mapInArrow(_buckets, ROW + ", hub long"), "buckets")
+    scan, buckets = both.where("doc is not null").select("doc.*", "k1"), both.where("doc is null").select("sig", "k1", "hub")
     ids = scan.where("doc_id is not null and n > 0").groupBy("k1").agg(F.min(F.struct("doc_id", "code")).alias("one")).select("k1", "one.*")
     pairs = keep(buckets.where("k1 != hub").select("hub", "k1").distinct(), "pairs")
     nodes = keep(pairs.select("k1").union(pairs.select("hub")).distinct().join(ids, "k1"), "nodes")

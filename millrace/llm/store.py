@@ -21,11 +21,24 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Remove the shuffle files of a command at its end.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def keep(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again: cuts lineage and survives lost executors."""
-    path = folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` as Parquet to the shared folder and read it again: cuts lineage and survives lost executors.
+
+    The shuffle files of the write are removed once it is done, as nothing reads them any more.
+    """
+    spark = df.sparkSession
+    path = folder(spark, name)
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 #: Rows of at most three numbers each that may be broadcast: below 50 MB.
