@@ -27,7 +27,6 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -272,26 +271,64 @@ def verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
 FIRST = 4
 
 
+def _points_of(column: pa.Array) -> np.ndarray:
+    """A row of counts for each value that ``_points`` has written."""
+    data, off = raw(column)
+    if (np.diff(off) == 2 * GROUPS).all():
+        return data[off[0] : off[-1]].view(np.uint16).reshape(-1, GROUPS)
+    return np.stack([np.frombuffer(p, np.uint16 if len(p) == 2 * GROUPS else np.uint32) for p in column.to_pylist()])
+
+
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(k1, comp, ask, point) of each bucket, from rows sorted by sig."""
+    held: list[tuple[np.ndarray, ...]] = []  # parts of the last bucket
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sig = batch.column("sig").to_numpy()
+        part = (batch.column("k1").to_numpy(), batch.column("comp").to_numpy(), batch.column("ask").to_numpy(zero_copy_only=False), _points_of(batch.column("point")))
+        cut = np.flatnonzero(sig[1:] != sig[:-1]) + 1
+        for i, j in zip([0, *cut], [*cut, len(sig)], strict=True):
+            if held and sig[i] != last:
+                yield tuple(map(np.concatenate, zip(*held, strict=True)))
+                held = []
+            last = sig[i]
+            held.append(tuple(c[i:j] for c in part))
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
 def _across(rule: Rule, most: int):
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        """One bucket (sig, k1, comp, ask, point): pairs of different components whose bound suffices, the ``most``
-        best of each member asked for, at first of all outside the largest component. A member that has more comes
-        as a pair with itself."""
-        frame = frame.drop_duplicates("k1")
-        comp, k, ask = frame["comp"].to_numpy(), frame["k1"].to_numpy(), frame["ask"].to_numpy(bool)
+    def pairs(k: np.ndarray, comp: np.ndarray, ask: np.ndarray, points: np.ndarray) -> np.ndarray:
+        """One bucket: pairs of different components whose bound suffices, the ``most`` best of each member asked for,
+        at first of all outside the largest component. A member that has more comes as a pair with itself."""
+        k, one = np.unique(k, return_index=True)
+        comp, ask = comp[one], ask[one]
         values, counts = np.unique(comp, return_counts=True)
         rest = np.flatnonzero(ask & (comp != values[counts.argmax()])) if most == FIRST else np.flatnonzero(ask)
-        tree = CountTree(np.stack([np.frombuffer(p, np.uint16 if len(p) == 2 * GROUPS else np.uint32) for p in frame["point"]]))
-        got = [(x[o], y[o], z[o]) for x, y, z in tree.search(rest, rule) if (o := comp[x] != comp[y]).any()]
+        if not len(rest) or len(values) == 1:
+            return np.zeros((2, 0), np.int64)
+        got = [(x[o], y[o], z[o]) for x, y, z in CountTree(points[one]).search(rest, rule) if (o := comp[x] != comp[y]).any()]
         if not got:
-            return pd.DataFrame({"hub": [], "k1": []}, dtype="int64")
+            return np.zeros((2, 0), np.int64)
         x, y, slack = (np.concatenate(c) for c in zip(*got, strict=True))
         order = np.lexsort((k[y], -slack, x))
         x, y = x[order], y[order]
         rank = np.arange(len(x)) - np.searchsorted(x, x)
         more = x[rank == most]
         a, b = np.concatenate((k[x[rank < most]], k[more])), np.concatenate((k[y[rank < most]], k[more]))
-        return pd.DataFrame({"hub": np.minimum(a, b), "k1": np.maximum(a, b)})
+        return np.stack((np.minimum(a, b), np.maximum(a, b)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, total = [np.zeros((2, 0), np.int64)], 0
+        for bucket in _whole_buckets(batches):
+            found.append(pairs(*bucket))
+            total += found[-1].shape[1]
+            if total >= SEND:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.unique(np.concatenate(found, axis=1), axis=1)], ["hub", "k1"])
+                found, total = [np.zeros((2, 0), np.int64)], 0
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.unique(np.concatenate(found, axis=1), axis=1)], ["hub", "k1"])
 
     return run
 
@@ -352,7 +389,8 @@ def similarity_groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_i
     rows, most = _apart(buckets, comp).withColumn("ask", F.lit(True)), FIRST
     while rows.limit(1).count():
         points = texts.join(sized_broadcast(keep(rows.select("k1").distinct(), "left")), "k1").mapInArrow(_points(rule), "k1 long, point binary")
-        found = rows.join(points, "k1").groupBy("sig").applyInPandas(_across(rule, most), "hub long, k1 long").distinct()
+        full = rows.join(points, "k1").repartition(n, "sig").sortWithinPartitions("sig")
+        found = full.select("sig", "k1", "comp", "ask", "point").mapInArrow(_across(rule, most), "hub long, k1 long").distinct()
         found = keep(found.join(pairs, ["hub", "k1"], "left_anti"), "across")
         new = found.where("hub != k1")
         links = keep(links.union(verified(new, texts, rule)), "links")
