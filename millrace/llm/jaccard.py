@@ -12,7 +12,7 @@ passage that many documents share fills hardly any block alone. Within a bucket
 1. every member is verified against a hub (bound first, then sets), and links are contracted to components;
 2. in buckets of three or more that still hold several components, an R-tree over the members' points finds, for each
    member outside the largest component, the partners in other components whose bound suffices. They are verified
-   best bound first, 4, then 64, then 1024 ... a member, until it is connected or no partner is left. So no link
+   best bound first, 1, then 16, then 256 ... a member, until it is connected or no partner is left. So no link
    between components is lost, and members of a large group of near copies are not paired with each other once they
    are connected.
 
@@ -268,7 +268,7 @@ def verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
 
 
 #: Partners of a member that are verified first.
-FIRST = 4
+FIRST = 1
 
 
 def _points_of(column: pa.Array) -> np.ndarray:
@@ -302,33 +302,33 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarr
 def _across(rule: Rule, most: int):
     def pairs(k: np.ndarray, comp: np.ndarray, ask: np.ndarray, points: np.ndarray) -> np.ndarray:
         """One bucket: pairs of different components whose bound suffices, the ``most`` best of each member asked for,
-        at first of all outside the largest component. A member that has more comes as a pair with itself."""
+        at first of all outside the largest component. more: 1 if the hub has further partners, 2 if k1 has."""
         k, one = np.unique(k, return_index=True)
         comp, ask = comp[one], ask[one]
         values, counts = np.unique(comp, return_counts=True)
         rest = np.flatnonzero(ask & (comp != values[counts.argmax()])) if most == FIRST else np.flatnonzero(ask)
         if not len(rest) or len(values) == 1:
-            return np.zeros((2, 0), np.int64)
+            return np.zeros((3, 0), np.int64)
         got = [(x[o], y[o], z[o]) for x, y, z in CountTree(points[one]).search(rest, rule) if (o := comp[x] != comp[y]).any()]
         if not got:
-            return np.zeros((2, 0), np.int64)
+            return np.zeros((3, 0), np.int64)
         x, y, slack = (np.concatenate(c) for c in zip(*got, strict=True))
         order = np.lexsort((k[y], -slack, x))
         x, y = x[order], y[order]
         rank = np.arange(len(x)) - np.searchsorted(x, x)
-        more = x[rank == most]
-        a, b = np.concatenate((k[x[rank < most]], k[more])), np.concatenate((k[y[rank < most]], k[more]))
-        return np.stack((np.minimum(a, b), np.maximum(a, b)))
+        more = (rank == 0) & np.isin(x, x[rank == most])
+        a, b, more = k[x[rank < most]], k[y[rank < most]], more[rank < most]
+        return np.stack((np.minimum(a, b), np.maximum(a, b), np.where(more, np.where(a < b, 1, 2), 0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, total = [np.zeros((2, 0), np.int64)], 0
+        found, total = [np.zeros((3, 0), np.int64)], 0
         for bucket in _whole_buckets(batches):
             found.append(pairs(*bucket))
             total += found[-1].shape[1]
             if total >= SEND:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.unique(np.concatenate(found, axis=1), axis=1)], ["hub", "k1"])
-                found, total = [np.zeros((2, 0), np.int64)], 0
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.unique(np.concatenate(found, axis=1), axis=1)], ["hub", "k1"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.unique(np.concatenate(found, axis=1), axis=1)], ["hub", "k1", "more"])
+                found, total = [np.zeros((3, 0), np.int64)], 0
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.unique(np.concatenate(found, axis=1), axis=1)], ["hub", "k1", "more"])
 
     return run
 
@@ -390,13 +390,14 @@ def similarity_groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_i
     while rows.limit(1).count():
         points = texts.join(sized_broadcast(keep(rows.select("k1").distinct(), "left")), "k1").mapInArrow(_points(rule), "k1 long, point binary")
         full = rows.join(points, "k1").repartition(n, "sig").sortWithinPartitions("sig")
-        found = full.select("sig", "k1", "comp", "ask", "point").mapInArrow(_across(rule, most), "hub long, k1 long").distinct()
-        found = keep(found.join(pairs, ["hub", "k1"], "left_anti"), "across")
-        new = found.where("hub != k1")
+        found = full.select("sig", "k1", "comp", "ask", "point").mapInArrow(_across(rule, most), "hub long, k1 long, more long").distinct()
+        found = keep(found, "across")
+        new = keep(found.select("hub", "k1").distinct().join(pairs, ["hub", "k1"], "left_anti"), "new")
         links = keep(links.union(verified(new, texts, rule)), "links")
         pairs = keep(pairs.union(new), "pairs")
         comp = keep(components(links), "comps")
-        more = sized_broadcast(keep(found.where("hub = k1").select("k1", F.lit(True).alias("ask")), "more"))
+        more = found.where("more = 1").select(F.col("hub").alias("k1")).union(found.where("more = 2").select("k1")).distinct()
+        more = sized_broadcast(keep(more.withColumn("ask", F.lit(True)), "more"))
         rows = _apart(rows.select("sig", "k1"), comp).join(more, "k1", "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
         rows = keep(rows.join(rows.where("ask").select("sig").distinct(), "sig", "left_semi"), "apart")
         most *= 16
