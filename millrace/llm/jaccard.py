@@ -179,7 +179,8 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(sig[many]), pa.array(k[many]), pa.nulls(int(many.sum()), DOC), pa.array(hubs[group][many])], ["sig", "k1", "doc", "hub"])
 
 
-GROUPS = 128
+#: Coordinates of a point. The bound tells sets apart while they have few hashes a group.
+GROUPS = 512
 
 
 def point(s: np.ndarray) -> np.ndarray:
@@ -203,10 +204,13 @@ class CountTree:
         self.low, self.high = np.minimum.reduceat(small, self.cut), np.maximum.reduceat(small, self.cut)
         self.page = page
 
-    def _bound(self, queries: np.ndarray, others: np.ndarray) -> np.ndarray:
-        return np.minimum(queries[:, :, None], others[:, None, :]).sum(0, dtype=self.kind).astype(np.int64)
+    def _bound(self, queries: np.ndarray, others: np.ndarray, block: int = 128) -> np.ndarray:
+        out = np.empty((queries.shape[1], others.shape[1]), np.int64)
+        for i in range(0, others.shape[1], block):
+            out[:, i : i + block] = np.minimum(queries[:, :, None], others[:, None, i : i + block]).sum(0, dtype=self.kind)
+        return out
 
-    def search(self, ask: np.ndarray, rule: Rule, block: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def search(self, ask: np.ndarray, rule: Rule, block: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(query, member, slack) of members whose summed coordinate minima with a query suffice for a link; queries
         are members too, and are not paired with themselves. slack: the sum above what is needed."""
         place = np.empty(len(self.order), np.int64)
