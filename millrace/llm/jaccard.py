@@ -397,13 +397,20 @@ def similarity_groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_i
         found = full.select("sig", "k1", "comp", "ask", "point").mapInArrow(_across(rule, most), "hub long, k1 long, more long").distinct()
         found = keep(found, "across")
         new = keep(found.select("hub", "k1").distinct().join(pairs, ["hub", "k1"], "left_anti"), "new")
-        links = keep(links.union(verified(new, texts, rule)), "links")
-        pairs = keep(pairs.union(new), "pairs")
-        comp = keep(components(links), "comps")
         more = found.where("more = 1").select(F.col("hub").alias("k1")).union(found.where("more = 2").select("k1")).distinct()
-        more = sized_broadcast(keep(more.withColumn("ask", F.lit(True)), "more"))
-        rows = _apart(rows.select("sig", "k1"), comp).join(more, "k1", "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
-        rows = keep(rows.join(rows.where("ask").select("sig").distinct(), "sig", "left_semi"), "apart")
+        more = keep(more.withColumn("ask", F.lit(True)), "more")
+        linked = keep(verified(new, texts, rule), "links")
+        joined = linked.limit(1).count()
+        if joined:
+            links = links.union(linked)
+            comp = keep(components(links), "comps")
+        if not more.limit(1).count():
+            break
+        pairs = pairs.union(new)
+        rows = rows.drop("ask") if not joined else _apart(rows.select("sig", "k1"), comp)
+        rows = keep(rows.join(sized_broadcast(more), "k1", "left").withColumn("ask", F.coalesce("ask", F.lit(False))), "asked")
+        asked = keep(rows.where("ask").select("sig").distinct(), "sigs")
+        rows = keep(rows.join(sized_broadcast(asked), "sig", "left_semi"), "apart")
         most *= 16
 
     # A document id stands for its sets, a component for the least id in it.
