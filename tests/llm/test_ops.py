@@ -213,6 +213,31 @@ def test_decontamination(spark, nasty, empty):
     assert decontam.contaminated(empty, bench).count() == 0 and decontam.contaminated(nasty, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("common", [60, 3000])
+def test_decontamination_equals_plain_alignment(spark, common):
+    """Copies edited at 10 to 33 % of their words, beside exact ones and texts of the same words."""
+    rng = np.random.default_rng(common)
+    vocabulary = [f"w{k}" for k in range(common)]
+    items = [rng.choice(vocabulary, n).tolist() for n in (3, 4, 7, 15, 20, 31, 40, 59)]
+    texts = [rng.choice(vocabulary, 80).tolist() for _ in range(10)] + [list(x) for x in items]
+    for item in items:
+        for every in (3, 4, 6, 10):
+            changed = [f"e{k}" if k % every == every - 1 else w for k, w in enumerate(item)]
+            dropped = [w for k, w in enumerate(item) if k % every != every - 1]
+            longer = [v for k, w in enumerate(item) for v in ((w, "new") if k % every == 0 else (w,))]
+            texts += [rng.choice(vocabulary, 30).tolist() + x + rng.choice(vocabulary, 30).tolist() for x in (changed, dropped, longer)]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    number = {w: k for k, w in enumerate(sorted({w for t in texts + items for w in t}))}
+    plain = {}
+    for (d, text), (t, item) in itertools.product(enumerate(texts), enumerate(items)):
+        score = decontam.align(np.array([number[w] for w in item]), np.array([number[w] for w in text]))[0] / (2 * len(item))
+        if score >= 0.5:
+            plain[d, t] = score
+    assert len(plain) > 80
+    assert {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(docs, bench).collect()} == plain
+
+
 def test_alignment_equals_plain_smith_waterman():
     rng = np.random.default_rng(0)
     for _ in range(50):
