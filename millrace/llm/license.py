@@ -1,10 +1,10 @@
 """License scans by a positional rare-token index.
 
 Templates (phrases and longer notices) are indexed by word and position. A first pass counts in how many documents
-each template word occurs, over all documents. In the second, a document's template words of highest inverse document
-frequency are looked up, their postings are intersected by relative position (a template start each occurrence
-implies), and starts that enough of them agree on are verified: the share of template words in place, and the
-mandatory key phrase in full.
+each template word occurs, over all documents. Each notice is then indexed by its own places of highest inverse
+document frequency, two more than a match may miss, so that any match has two of them in place. In the second pass
+their postings are intersected by relative position (a template start each occurrence implies), and starts that two
+agree on are verified: the share of template words in place, and the mandatory key phrase in full.
 """
 
 from __future__ import annotations
@@ -59,41 +59,43 @@ def templates(phrases: dict[str, str], notices) -> list[Template]:
 
 
 class Index:
-    """Postings (template, position) of each word, and the words' inverse document frequencies."""
-
-    def __init__(self, made: list[Template], frequency: dict[int, int], n_docs: int, rarest: int = 8, least: float = 0.8):
-        self.made, self.rarest, self.least = made, rarest, least
-        self.postings = defaultdict(list)
+    """Postings (template, position) of the words sought, and the template words' inverse document frequencies."""
+
+    def __init__(self, made: list[Template], frequency: dict[int, int], n_docs: int, least: float = 0.8):
+        self.made, self.least = made, least
+        words = {w for x in made for w in x.words}
+        self.idf = {w: math.log((n_docs + 1) / (frequency.get(w, 0) + 1)) for w in words}
+        #: An exact phrase is sought by its rarest place; a notice by its rarest places, so many that a match holds
+        #: ``votes`` of them whichever words it misses.
+        self.postings, self.votes = defaultdict(list), []
         for t, x in enumerate(made):
-            for q, w in enumerate(x.words):
-                self.postings[w].append((t, q))
-        self.idf = {w: math.log((n_docs + 1) / (frequency.get(w, 0) + 1)) for w in self.postings}
-        #: An exact phrase is sought by its own rarest word, a notice by those of its words that are rare in the file.
-        self.anchor = [max(range(len(x.words)), key=lambda q, x=x: (self.idf[x.words[q]], -q)) for x in made]
+            rare = sorted(range(len(x.words)), key=lambda q, x=x: (-self.idf[x.words[q]], q))
+            spare = 0 if x.exact else sum(k / len(x.words) >= least for k in range(len(x.words)))
+            self.votes.append(1 if x.exact else min(2, len(x.words) - spare))
+            for q in rare[: spare + self.votes[t]]:
+                self.postings[x.words[q]].append((t, q))
         self.vocabulary = np.array(sorted(self.postings), np.uint64)
 
     def scan(self, words: np.ndarray, at: np.ndarray) -> tuple[list[tuple[int, int]], dict[str, float]]:
         """words: hashes of one file; at: places of those in the vocabulary. Exact places (template, start), and
         scores of the labels found."""
         own = [(int(p), int(words[p])) for p in at]
-        by_idf = sorted({w for _, w in own}, key=lambda w: (-self.idf[w], w))
-        rare = set(by_idf[: self.rarest])
         base, votes = set(), Counter()
         for p, w in own:
             for t, q in self.postings[w]:
                 x = self.made[t]
                 if x.exact:
-                    if q == self.anchor[t] and 0 <= p - q <= len(words) - len(x.words):
+                    if 0 <= p - q <= len(words) - len(x.words):
                         if tuple(words[p - q : p - q + len(x.words)].tolist()) == x.words:
                             base.add((t, p - q))
-                elif w in rare:
+                else:
                     votes[t, p - q] += 1
         scores: dict[str, float] = {}
         for t, _ in base:
             scores[self.made[t].label] = 1.0
         for (t, start), n in votes.items():
             x = self.made[t]
-            if n < min(2, len(x.words)):
+            if n < self.votes[t]:
                 continue
             lo = max(0, start)
             span = words[lo : start + len(x.words)].tolist()

@@ -160,6 +160,29 @@ def test_licenses(spark, nasty, empty):
     assert license.scan_licenses(empty).count() == 0
 
 
+def test_licenses_of_several_notices(spark):
+    """Every pair of notices, whole and with a fifth of the words changed, against a plain scan of all places."""
+    rng = np.random.default_rng(5)
+    texts = [f"one {a} and {b} end" for (_, a, _), (_, b, _) in itertools.permutations(license.NOTICES, 2)]
+    for (_, a, key), (_, b, _) in itertools.permutations(license.NOTICES, 2):
+        w = a.split()
+        free = [k for k in range(len(w)) if w[k] not in key.split()]
+        for k in rng.permutation(free)[: len(w) // 5]:
+            w[k] = "other"
+        texts.append(" ".join(w) + " between " + b)
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    for r in license.scan_licenses(docs).collect():
+        words, found = texts[r.doc_id].split(), set()
+        for label, text, key in license.NOTICES:
+            x = text.split()
+            for start in range(1 - len(x), len(words)):
+                span = words[max(0, start) : start + len(x)]
+                same = sum(v == y for v, y in zip(span, x[max(0, -start) :], strict=False)) / len(x)
+                if same >= 0.8 and f" {key} " in f" {' '.join(span)} ":
+                    found.add(label)
+        assert r.labels == ",".join(sorted(found | set(filter(None, r.base_labels.split(","))))), texts[r.doc_id]
+
+
 def test_toxicity(spark, nasty, empty):
     rng = np.random.default_rng(0)
     plain = [f"word{k}" for k in range(40)]
