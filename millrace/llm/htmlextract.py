@@ -29,8 +29,8 @@ TOKEN = re.compile(
     r"|<[!?][^>]*+>",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+UNSHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -42,13 +42,35 @@ NAMES = frozenset(
     "notice notices popup promo promotion related respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
 MAIN = frozenset(("article", "main"))
+#: Elements that hold the page or its main text: no class, id or role makes them boilerplate.
+WHOLE = MAIN | {"html", "body"}
+#: From such a word on, a class ("has-sidebar", "page-no-comments") says what an element goes with, not what it is.
+ABOUT = frozenset("has have hide hides no non not show shows with without".split())
 #: What a word or a tag within boilerplate costs: it keeps a region from growing over it without need.
 FAINT = 0.02
 
 
-def names(attributes: str) -> set[str]:
+def attributes(text: str) -> dict[str, str]:
+    """Attributes by lower-cased name; the first of a name counts."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(text):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def names(given: dict[str, str]) -> set[str]:
     """Lower-cased parts of an element's class, id and role."""
-    return {p for m in ATTRIBUTE.finditer(attributes) for p in re.split(r"[^a-z0-9]+", (m[2] or m[3] or m[4] or "").lower()) if p}
+    parts = set()
+    for key in ("class", "id", "role"):
+        for token in given.get(key, "").lower().split():
+            some = [p for p in re.split(r"[^a-z0-9]+", token) if p]
+            k = next((k for k, p in enumerate(some[:-1]) if p in ABOUT), len(some))
+            parts.update(some[:k], ["-".join(some[k:])] if some[k:] else [])
+    return parts
+
+
+def hidden(given: dict[str, str]) -> bool:
+    return "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true" or bool(UNSHOWN.search(given.get("style", "")))
 
 
 @dataclass
@@ -63,12 +85,14 @@ class Weights:
         return self.scale * max((self.odds.get(k, 0.0) for k in keys), default=0.0) + 0.01
 
     def outside(self, tag: str, parts: set[str]) -> bool:
+        if tag in WHOLE:
+            return False
         return tag in OUTSIDE or bool(parts & NAMES) or any(self.odds.get(f"{tag}.{p}", 0.0) >= self.sure for p in parts)
 
 
 def walk(page: str, weights: Weights) -> Iterator[tuple[str, str, float, bool, bool]]:
     """(kind, text, score, outside, inside a marked main element) of each run of text and each tag, in page order."""
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, bool, bool]] = []
     out = marked = at = 0
     for m in TOKEN.finditer(page):
         if m.start() > at and (text := page[at : m.start()]).strip():
@@ -83,18 +107,23 @@ def walk(page: str, weights: Weights) -> Iterator[tuple[str, str, float, bool, b
         if m[2]:
             depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
             if depth is not None:
-                for name, flag in stack[depth:]:
+                for name, flag, _ in stack[depth:]:
                     out -= flag
                     marked -= name in MAIN
                 del stack[depth:]
             yield "/" + tag, "", -FAINT, out > 0, marked > 0
             continue
-        parts = names(m[4])
-        flag = weights.outside(tag, parts) or bool(HIDDEN.search(m[4]))
+        given = attributes(m[4]) if m[4].strip() else {}
+        parts = names(given)
+        if tag == "main":  # what holds it is boilerplate by its element or as hidden only, not by its names
+            stack = [(name, flag and firm, firm) for name, flag, firm in stack]
+            out = sum(flag for _, flag, _ in stack)
+        firm = tag in OUTSIDE or hidden(given)
+        flag = firm or weights.outside(tag, parts)
         cost = FAINT if out or flag else weights.cost([f"{tag}.{p}" for p in parts] or [tag])
         yield tag, " ".join(sorted(parts)), -cost, out > 0, marked > 0
         if tag not in VOID and not m[4].endswith("/"):
-            stack.append((tag, flag))
+            stack.append((tag, flag, firm))
             out += flag
             marked += tag in MAIN
     if at < len(page):
@@ -129,6 +158,22 @@ def main_text(page: str | None, weights: Weights) -> str:
     return " ".join(b for b in (" ".join(entities.unescape(x).split()) for x in blocks) if b)
 
 
+def holders(kinds: list[str]) -> set[int]:
+    """Places of the tags whose elements hold a main element: these stand neither inside nor outside main text."""
+    stack: list[int] = []
+    found: set[int] = set()
+    for k, kind in enumerate(kinds):
+        if kind[0] == "/":
+            if (depth := next((n for n in range(len(stack) - 1, -1, -1) if kinds[stack[n]] == kind[1:]), None)) is not None:
+                del stack[depth:]
+        elif kind in MAIN:
+            found.update(stack)
+            stack.append(k)
+        elif kind != "text" and kind not in VOID:
+            stack.append(k)
+    return found
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tags and classes of marked pages, inside and outside their main elements."""
     blank = Weights()
@@ -138,8 +183,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts = list(walk(page or "", blank))
             if not any(p[4] for p in parts):
                 continue
-            for kind, text, _, _, marked in parts:
-                if kind != "text" and kind[0] != "/" and kind not in MAIN:
+            around = holders([p[0] for p in parts])
+            for k, (kind, text, _, _, marked) in enumerate(parts):
+                if kind != "text" and kind[0] != "/" and kind not in MAIN and k not in around:
                     side = inside if marked else outside
                     side.update([f"{kind}.{p}" for p in text.split()] or [kind])
         keys = sorted(inside.keys() | outside.keys())

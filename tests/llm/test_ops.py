@@ -227,6 +227,27 @@ def test_html(spark, empty):
         assert " ".join(h.unescape(article).split()) == text
 
 
+HARMLESS = ['<p style="overflow:hidden">{}</p>', '<p class="overflow-hidden">{}</p>', '<p aria-hidden="false">{}</p>', '<p>{} <a href="/hidden/gem">link</a></p>', '<p data-id="footer" title="class=ad">{}</p>']
+WHOLE = ['<body class="has-sidebar">{}</body>', '<article class="no-comments">{}</article>', '<main class="sidebar">{}</main>', '<div class="page-with-sidebar">{}</div>', '<div class="widget"><main>{}</main></div>', '<body class="page">{}</body>']
+UNSEEN = ["<p hidden>{}</p>", '<p aria-hidden="true">{}</p>', '<p style="color:red; display: none">{}</p>', '<div class="ad">{}</div>', '<div class="left-sidebar">{}</div>', '<aside><main>{}</main></aside>']
+
+
+def test_html_drops_only_boilerplate():
+    text = "words of the article that stay " * 5
+    w = htmlextract.Weights({"body.page": 6.0, "main.sidebar": 6.0})
+    for page in HARMLESS + WHOLE:
+        assert htmlextract.main_text(page.format(text), w).startswith(text.strip()), page
+    for page in UNSEEN:
+        assert htmlextract.main_text("<p>kept</p>" + page.format(text), w) == "kept", page
+
+
+def test_html_learns_nothing_of_what_holds_the_main_text(spark):
+    pages = spark.createDataFrame([(k, f"<div class=wrap><div class=top>x</div><article><p>{'word ' * 20}</p></article></div>") for k in range(30)], "page_id long, html string")
+    w = htmlextract.learn(pages)
+    assert "div.wrap" not in w.odds and w.odds["div.top"] > 3
+    assert htmlextract.main_text(pages.first().html, w) == ("word " * 20).strip()
+
+
 def test_decontamination(spark, nasty, empty):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     bench = spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string")
