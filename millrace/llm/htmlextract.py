@@ -192,9 +192,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([inside[k] for k in keys], pa.int64()), pa.array([outside[k] for k in keys], pa.int64())], ["key", "inside", "outside"])
 
 
+#: Start of a main element, and what ``TOKEN`` passes over as comment or script, for Spark's regular expressions.
+OPENS = r"(?i)<(article|main)(?![a-z0-9:-])"
+UNREAD = r"(?is)<!--.*?(-->|\z)|<(script|style)\b[^>]*+>.*?(</\2\s*+>|\z)"
+
+
 def learn(pages: DataFrame, sample: int = 500, keys: int = 5000, id_col: str = "page_id", html_col: str = "html") -> Weights:
-    """Weights from the ``sample`` rows of least id hash, of tags and classes seen there five times or more."""
+    """Weights from the ``sample`` pages with a main element of least id hash, of tags and classes seen there five times
+    or more."""
     some = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html")).where("page_id is not null and html is not null")
+    some = some.where(F.col("html").rlike(OPENS) & F.regexp_replace("html", UNREAD, "").rlike(OPENS))
     ids = [r["page_id"] for r in some.select("page_id", F.xxhash64("page_id").alias("h")).orderBy("h", "page_id").limit(sample).collect()]
     counted = some.where(F.col("page_id").isin(ids)).select("html").mapInArrow(_count, "key string, inside long, outside long")
     counted = counted.groupBy("key").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o")).where("i + o >= 5").orderBy(F.desc("o"), "key").limit(keys)

@@ -248,6 +248,14 @@ def test_html_learns_nothing_of_what_holds_the_main_text(spark):
     assert htmlextract.main_text(pages.first().html, w) == ("word " * 20).strip()
 
 
+def test_html_learns_from_marked_pages_only(spark):
+    """Twenty marked pages among two thousand, some of which name a main element in comments and scripts only."""
+    plain = ["<p>x</p>", "<!-- <article> --><p>x</p>", "<script>'<main>'</script>", "<maintain>x</maintain>"]
+    html = ["<div class=top>x</div><ARTICLE id=a><p>word</p></ARTICLE>" if k % 100 == 7 else plain[k % 4] for k in range(2000)]
+    pages = spark.createDataFrame(list(enumerate(html)), "page_id long, html string")
+    assert htmlextract.learn(pages, sample=20).odds["div.top"] == pytest.approx(np.log(20.5 / 0.5))
+
+
 def test_decontamination(spark, nasty, empty):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     bench = spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string")
