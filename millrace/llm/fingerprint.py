@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .textops import NONSPACE, U, Words, blocks, mix, raw
 
-SAMPLES = 64
+#: The share of equal samples has a standard error of sqrt(s (1 - s) / SAMPLES) at similarity s: 0.035 at 0.8, 0.027 at 0.9.
+SAMPLES = 128
 WIDTH = 5
 _BITS = 18
 

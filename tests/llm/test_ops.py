@@ -146,6 +146,18 @@ def test_sampling_estimates_generalised_jaccard():
     assert abs(np.mean(errors)) < 0.03
 
 
+def test_sampling_spread():
+    """Root mean square error over 200 pairs of similarity about 0.8."""
+    rng = np.random.default_rng(1)
+    terms, errors = np.sort(rng.integers(0, 2**63, 300, dtype=np.uint64)), []
+    for _ in range(200):
+        a, b = (np.where(rng.random(300) < 0.11, 0, 1) for _ in range(2))
+        true = np.minimum(a, b).sum() / np.maximum(a, b).sum()
+        errors.append(fingerprint.likeness(*(fingerprint.sample(terms[w > 0], w[w > 0]) for w in (a, b))) - true)
+        terms = np.sort(rng.integers(0, 2**63, 300, dtype=np.uint64))
+    assert np.sqrt(np.mean(np.square(errors))) < 0.042
+
+
 def test_licenses(spark, nasty, empty):
     more = spark.createDataFrame([(20, "x Under the MIT License. cc-by-nc, CC BY NC"), (21, "Licensed under the Apache License, Version 2.0."), (22, "GNU General Public License, version 3")], "doc_id long, text string")
     docs = nasty.select("doc_id", "text").union(more)
