@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import keep
+from .store import keep, small_batches
 from .textops import ALPHA, U, Words, blocks, mix, raw
 
 ORDER = 5
@@ -92,10 +92,10 @@ class Model:
 
     def entropies(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(text, language) cross-entropy per character, and the characters of each text (0 where it has no letter)."""
-        data, off = raw(pc.utf8_lower(column))
+        off = raw(column)[1]
         n_lang, total = len(self.languages), []
         for i, j in blocks(off, 1 << 20):
-            w = Words(data, off, i, j, ALPHA, lower=False)
+            w = Words(*raw(pc.utf8_lower(column.slice(i, j - i))), 0, j - i, ALPHA, lower=False)
             rows = np.zeros((j - i, n_lang + 1))
             if len(w.hash):
                 at = np.searchsorted(self.words, w.hash).clip(max=max(0, len(self.words) - 1)) if len(self.words) else np.zeros(len(w.hash), np.int64)
@@ -184,10 +184,10 @@ def estimate(counts: dict[str, Counter]) -> Model:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         got: dict[str, Counter] = {}
-        data, off = raw(pc.utf8_lower(batch.column("text")))
+        column = batch.column("text")
         langs = batch.column("lang").to_pylist()
-        for i, j in blocks(off):
-            w = Words(data, off, i, j, ALPHA, lower=False)
+        for i, j in blocks(raw(column)[1]):
+            w = Words(*raw(pc.utf8_lower(column.slice(i, j - i))), 0, j - i, ALPHA, lower=False)
             b = w.data.tobytes()
             for d, s, e in zip(w.doc.tolist(), w.start.tolist(), w.end.tolist(), strict=True):
                 got.setdefault(langs[i + d], Counter())[b[s:e]] += 1
@@ -199,6 +199,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, keep_row: Column | None = None, per_language: int = 500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on about ``per_language`` rows of each language for which ``keep_row`` holds. Rows without id, text or
     language teach nothing; without any the model knows no language and calls everything und."""
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     base = base.where("doc_id is not null and text is not null and lang is not null")
     if keep_row is not None:
@@ -207,7 +208,8 @@ def train(docs: DataFrame, keep_row: Column | None = None, per_language: int = 5
     if not total:
         return estimate({})
     share = F.create_map(*(x for lang, n in total.items() for x in (F.lit(lang), F.lit(min(1.0, per_language / n)))))
-    sample = keep(base.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6 < share[F.col("lang")]).select("lang", "text"), "labelled")
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 53)) / float(1 << 53)  # so fine that the sample's size holds for any number of rows
+    sample = keep(base.where(draw < share[F.col("lang")]).select("lang", "text"), "labelled")
     counts: dict[str, Counter] = {lang: Counter() for lang in total}
     for r in sample.mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r["lang"]][r["word"]] = r["n"]
@@ -235,18 +237,18 @@ def train(docs: DataFrame, keep_row: Column | None = None, per_language: int = 5
 
 
 def identified(docs: DataFrame, m: Model, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
-    """(doc_id, lang_pred, score, rejected) and the columns ``more`` for each row.
+    """(doc_id, text, lang_pred, score, rejected) and the columns ``more`` for each row.
 
-    A null text or one without a letter is und with score 0, and rejected. Other columns are ignored.
+    A null text or one without a letter is und with score 0, and rejected. Texts alone go to Python, in batches of
+    bounded bytes. Rows with equal or null ids are taken each for itself; an empty table gives no rows. Columns that are
+    not named are ignored.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
+    small_batches(docs.sparkSession)
+    kinds = [pa.field("lang_pred", pa.string()), pa.field("score", pa.float64()), pa.field("rejected", pa.bool_())]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lang, sure, odd = m.predict(batch.column("text"))
-            for name, x in (("lang_pred", pa.array(lang, pa.string())), ("score", pa.array(sure)), ("rejected", pa.array(odd))):
-                batch = batch.append_column(name, x)
-            yield batch
+    @F.arrow_udf("lang_pred string, score double, rejected boolean")
+    def found(text: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(m.predict(text), kinds, strict=True)], fields=kinds)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", lang_pred string, score double, rejected boolean"
-    return base.mapInArrow(run, schema)
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
+    return base.withColumn("_found", found("text")).select("*", "_found.*").drop("_found")

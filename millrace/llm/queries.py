@@ -53,7 +53,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs, keep_row=fold() != 2)
     held = F.coalesce(fold() == 2, F.lit(False))
-    return langid.identified(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return langid.identified(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,15 +13,27 @@ from pyspark.sql import functions as F
 def folder(spark: SparkSession, name: str) -> str:
     """A fresh path below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is absent (tests on one machine) a temporary folder takes its place for the session.
+    Where the setting is absent a temporary folder takes its place for the session, on a local master only: executors
+    of a cluster would not see it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = spark.conf.get("millrace.local.dir", None) or "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("millrace.local.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of a batch that goes to a Python worker: what a task holds beside the engine's own rows is a small multiple of it.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes for the session, so that rows of long texts do not make batches of any size."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 #: Remove the shuffle files of a command at its end.
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -41,8 +54,8 @@ def keep(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of at most three numbers each that may be broadcast: below 50 MB.
-BROADCAST_ROWS = 1_000_000
+#: Rows of at most three numbers each that may be broadcast: at most some 80 bytes a row as a hash table, 32 MB.
+BROADCAST_ROWS = 400_000
 
 
 def sized_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -5,7 +5,8 @@ hashed to 64 bits. The machine is w0 + sum w_i + sum_{i<j} <v_i, v_j> over the t
 pairs, such as an insult with a mention of a group, that additive weights miss.
 
 Fitting takes a bounded, documented sample of labelled rows: at most ``Settings.per_class`` of each label, those of
-least id hash. Term choice, vectors and the intercept (corrected for the sampling) come from these rows alone.
+least id hash. Term choice, vectors and the intercept (corrected for the sampling) come from these rows alone. What the
+driver gets is bounded by these: a number for each term of a sampled text, so 12,000 texts of at most 4,096 terms.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import keep
+from .store import keep, small_batches
 from .textops import ALNUM, U, Words, as_long, blocks, mix, raw
 
 
@@ -103,11 +104,11 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         toxic = batch.column("toxic").to_numpy()
         data, off = raw(batch.column("text"))
-        for i, j in blocks(off, 1 << 22):
+        for i, j in blocks(off, 1 << 20):
             doc, h = terms(Words(data, off, i, j, ALNUM))
-            one = np.unique(np.stack((h, doc.astype(np.uint64))), axis=1) if len(h) else np.zeros((2, 0), np.uint64)
-            label = toxic[i:j][one[1].astype(np.int64)]
-            term, back = np.unique(one[0], return_inverse=True)
+            one = np.unique(mix(h + doc.astype(np.uint64) * U(0x9E3779B97F4A7C15)), return_index=True)[1]
+            label = toxic[i:j][doc[one]]
+            term, back = np.unique(h[one], return_inverse=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(as_long(term)), pa.array(np.bincount(back, label, len(term)).astype(np.int64)), pa.array(np.bincount(back, 1 - label, len(term)).astype(np.int64))],
                 ["term", "pos", "neg"],
@@ -131,6 +132,7 @@ def _rows(m: Machine):
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), keep_row: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
     """Fit on the labelled rows for which ``keep_row`` holds. Null ids and labels teach nothing; of repeated ids the
     largest label counts. With no labelled row the machine has no terms and scores everything 0.5."""
+    small_batches(docs.sparkSession)
     rows = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     if keep_row is not None:
         rows = rows.where(keep_row)
@@ -160,12 +162,16 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), keep_row
 
 
 def scored(docs: DataFrame, m: Machine, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
-    """(doc_id, score) and the columns ``more`` for each row; null and empty texts score as texts without terms."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
+    """(doc_id, text, score) and the columns ``more`` for each row; null and empty texts score as texts without terms.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.append_column("score", pa.array(m.score(batch.column("text"))))
+    Texts alone go to Python, in batches of bounded bytes, and numbers alone come back. Rows with equal or null ids are
+    scored each for itself; an empty table gives no rows. Columns that are not named are ignored.
+    """
+    small_batches(docs.sparkSession)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", score double"
-    return base.mapInArrow(run, schema)
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        return pa.array(m.score(text), pa.float64())
+
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
+    return base.withColumn("score", score("text"))
