@@ -133,7 +133,7 @@ def _scan(rule: Rule):
                 if total >= SEND:
                     yield _sent(sig, own)
                     sig, own, total = [], [], 0
-            if own:
+            if sig:  # sets so small that only equal ones are linked have none
                 yield _sent(sig, own)
             deal = as_long(mix(np.arange(place, place + len(n), dtype=np.uint64) ^ mix(k1.view(U))))
             place += len(n)
