@@ -9,7 +9,9 @@ goes back as ranges of ranks within each length, so the whole corpus is placed w
 from __future__ import annotations
 
 import base64
+import re
 import zlib
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,9 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .store import keep
+from .store import keep, small_batches
 
 SPECIAL = "<|endoftext|>"
+#: White space that the second library's pattern would go back over place by place, until its stack ends.
+LONG_SPACE = 50_000
+_space = re.compile(r"\s{%d}" % LONG_SPACE)
 
 
 def tokenizer_path(name: str) -> str:
@@ -36,7 +41,8 @@ def encoder(vocabulary: str, ranks: str):
     """Text to ids of the tokenizer file ``vocabulary``.
 
     ``ranks`` holds the same vocabulary for a second library that gives the same ids in a quarter of the time;
-    a text that spells the special token goes to the tokenizer itself.
+    a text that spells the special token, or holds ``LONG_SPACE`` places of white space in a row, goes to the tokenizer
+    itself.
     """
     import public_tokenizers
     import tiktoken
@@ -48,7 +54,9 @@ def encoder(vocabulary: str, ranks: str):
     fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
     def encode(text: str) -> list[int]:
-        return exact.encode(text, add_special_tokens=False).ids if SPECIAL in text else fast.encode_ordinary(text)
+        if SPECIAL in text or len(text) >= LONG_SPACE and _space.search(text):
+            return exact.encode(text, add_special_tokens=False).ids
+        return fast.encode_ordinary(text)
 
     return encode
 
@@ -112,60 +120,95 @@ def best_fit(counts: dict[int, int], size: int) -> Counter[Pattern]:
     return out
 
 
-def _exchange(p: Pattern, q: Pattern, size: int) -> tuple[Pattern, Pattern] | None:
-    """The change between two bins (q the fuller) that raises their squared fill most: a move, or a swap of one or
-    two documents for one. Raising the fuller bin's fill raises the sum of squares."""
-    room, best = size - sum(q), 0
-    pick: tuple[Pattern, Pattern] | None = None
-    singles = sorted(set(p))
-    pairs = sorted({tuple(sorted((p[i], p[j]), reverse=True)) for i in range(len(p)) for j in range(i)}, key=sum) if len(p) < 40 else []
-    for give in [*((x,) for x in singles), *pairs]:
-        for take in [(), *((y,) for y in set(q))]:
-            if len(give) == 2 and not take:
-                continue
-            gain = sum(give) - sum(take)
-            if best < gain <= room:
-                best, pick = gain, (give, take)
-    if not pick:
-        return None
-    a, b = Counter(p), Counter(q)
-    a.subtract(pick[0])
-    a.update(pick[1])
-    b.update(pick[0])
-    b.subtract(pick[1])
-    return tuple(sorted(a.elements(), reverse=True)), tuple(sorted(b.elements(), reverse=True))
-
-
-def improve(plan: Counter[Pattern], size: int, tries: int = 20_000) -> Counter[Pattern]:
-    """Local search: empty the least filled bins into other underfull ones, as many equal bins at once as there are.
-
-    ``tries`` bounds the effort (pairs of patterns looked at), never what is packed.
+class _Underfull:
+    """Underfull patterns by each length they hold (0 for none), in order of their room."""
+
+    def __init__(self, plan: Counter[Pattern], size: int):
+        self.plan, self.size = plan, size
+        self.holds: dict[int, list[tuple[int, Pattern]]] = defaultdict(list)
+        self.fullest: list[tuple[int, Pattern]] = []
+        for p in plan:
+            self._enter(p)
+
+    def _enter(self, p: Pattern) -> None:
+        if (room := self.size - sum(p)) > 0:
+            insort(self.fullest, (room, p))
+            for y in {0, *p}:
+                insort(self.holds[y], (room, p))
+
+    def change(self, p: Pattern, by: int) -> None:
+        new = p not in self.plan
+        self.plan[p] += by
+        if new:
+            self._enter(p)
+        elif not self.plan[p]:
+            del self.plan[p]
+            if (room := self.size - sum(p)) > 0:
+                for x in (self.fullest, *(self.holds[y] for y in {0, *p})):
+                    del x[bisect_left(x, (room, p))]
+
+    def exchange(self, p: Pattern) -> tuple[Pattern, tuple[int, ...], int] | None:
+        """The bin q, as full as ``p`` or fuller, what ``p`` gives it and what it takes for that (0: nothing) that fill
+        q most: one document moved, or one or two swapped for one. That raises the sum of squared fills most."""
+        most = self.size - sum(p)
+        takes, rooms, bins = [], [], []
+        for y, some in self.holds.items():
+            k = bisect_right(some, most, key=lambda x: x[0]) - 1
+            if k >= 0 and some[k][1] == p and self.plan[p] < 2:
+                k -= 1
+            if k >= 0:
+                takes.append(y)
+                rooms.append(some[k][0])
+                bins.append(some[k][1])
+        if not takes:
+            return None
+        twice = {x for x, n in Counter(p).items() if n > 1}
+        own = sorted(set(p))
+        gives = [(x,) for x in own] + [(a, b) for i, a in enumerate(own) for b in own[:i]] + [(x, x) for x in sorted(twice)]
+        gain = np.array([sum(g) for g in gives])[:, None] - np.array(takes)[None, :]
+        good = (gain > 0) & (gain <= np.array(rooms)[None, :])
+        good[len(own) :] &= np.array(takes)[None, :] > 0
+        gain[~good] = 0
+        i, j = np.unravel_index(int(gain.argmax()), gain.shape)
+        return (bins[j], gives[i], takes[j]) if gain[i, j] else None
+
+
+def _swapped(p: Pattern, away: tuple[int, ...], into: tuple[int, ...]) -> Pattern:
+    out = Counter(p)
+    out.subtract(away)
+    out.update(into)
+    return tuple(sorted(out.elements(), reverse=True))
+
+
+def improve(plan: Counter[Pattern], size: int) -> Counter[Pattern]:
+    """Local search: the least filled bins give documents to fuller ones, as many equal bins at once as there are.
+
+    Each exchange raises the sum of squared fills, so the search ends: when no exchange is left, or when the total length
+    needs every bin that is left.
     """
     plan = Counter(plan)
-    while tries > 0:
-        under = sorted((p for p in plan if sum(p) < size), key=sum)
-        changed = False
-        for p in under:
-            for q in reversed(under):
-                if p == q and plan[p] < 2 or sum(q) < sum(p) or tries <= 0:
-                    continue
-                tries -= 1
-                if size - sum(q) < 1 or not (new := _exchange(p, q, size)):
-                    continue
-                many = plan[p] // 2 if p == q else min(plan[p], plan[q])
-                for x in (p, q):
-                    plan[x] -= many
-                    if not plan[x]:
-                        del plan[x]
-                for x in new:
-                    if x:
-                        plan[x] += many
-                changed = True
-                break
-            if changed or tries <= 0:
-                break
-        if not changed:
-            break
+    least = -(-sum(sum(p) * n for p, n in plan.items()) // size)
+    under, bins, changed = _Underfull(plan, size), sum(plan.values()), True
+    while changed and bins > least:
+        changed, limit = False, (size, ())
+        while bins > least and (at := bisect_left(under.fullest, limit)):
+            room, p = under.fullest[at - 1]  # the least filled that this pass has not left behind
+            if not (found := under.exchange(p)):
+                limit = (room, p)
+                continue
+            q, give, take = found
+            many = plan[p] // 2 if p == q else min(plan[p], plan[q])
+            taken = (take,) if take else ()
+            poorer, fuller = _swapped(p, give, taken), _swapped(q, taken, give)
+            for x in (p, q):
+                under.change(x, -many)
+            under.change(fuller, many)
+            if poorer:
+                under.change(poorer, many)
+                limit = max(limit, (size - sum(poorer) + 1, ()))
+            else:
+                bins -= many
+            changed = True
     return plan
 
 
@@ -189,6 +232,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, ranks: str | None = Non
     A null or empty text is one piece, the closing id 0 alone. Rows with equal or null ids are packed like any
     other, each on its own. An empty table gives an empty result. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     vocabulary, ranks = vocabulary or tokenizer_path("byte_bpe_50k.json"), ranks or tokenizer_path("byte_bpe_50k.tiktoken")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = keep(base.mapInArrow(_tokenise(vocabulary, ranks, size), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
