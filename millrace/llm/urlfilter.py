@@ -1,23 +1,24 @@
 """URL filters: rules, and gradient-boosted trees on lexical features where no rule fits.
 
-Features of a URL: length, depth, digit ratio, entropy, hyphens, parameter and subdomain counts, and the block rates
-of its host's suffixes among the training URLs. Trees are grown on histograms by the second-order gain of the
-logistic loss.
+Features of a URL: lengths, depth, digit ratios, entropies, parameter count, and the block rates of its host's suffixes
+among the training URLs. Trees are grown on quantiles by the second-order gain of the logistic loss.
 """
 
 from __future__ import annotations
 
-import itertools
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import small_batches
+
 _LOWER = str.maketrans({chr(65 + k): chr(97 + k) for k in range(26)})
 
 
@@ -76,23 +77,25 @@ def suffixes(host: str) -> list[str]:
     return [".".join(labels[-k:]) for k in (1, 2, 3)]
 
 
-FEATURES = 14
+#: Lexical features, in the order of ``lexical``; the last three are block rates of the host's last one, two and three labels.
+FEATURES = ("length", "host length", "path length", "depth", "digit ratio", "host digit ratio", "host entropy", "path entropy", "parameters", "suffix 1", "suffix 2", "suffix 3")
+
+
+def entropy(text: str) -> float:
+    """Bits a character."""
+    n = np.array(list(Counter(text).values()), float)
+    return float(-(n / n.sum() * np.log2(n / n.sum())).sum()) if len(n) else 0.0
 
 
 def lexical(urls: list[str | None], rates: dict[str, float], prior: float) -> np.ndarray:
-    x = np.zeros((len(urls), FEATURES))
+    x = np.zeros((len(urls), len(FEATURES)))
     for row, url in zip(x, urls, strict=True):
         url = url or ""
         host, path = split_url(url)
-        query = url.partition("?")[2].partition("#")[0]
-        n = max(1, len(url))
-        counts = np.array(list(Counter(host).values()), float) / max(1, len(host))
-        own = host.rpartition(".")[0]
-        row[:] = (
-            len(url), len(host), len(path), path.count("/"), sum(c.isdigit() for c in url) / n, sum(c.isdigit() for c in host),
-            -(counts * np.log2(counts)).sum() if len(counts) else 0, query.count("=") + query.count("&"), own.count("."), host.count("-"),
-            max((len(p) for p in host.split(".")), default=0), *(rates.get(s, prior) for s in suffixes(host)),
-        )
+        query = url.partition("#")[0].partition("?")[2]
+        digits = lambda text: sum(c.isdigit() for c in text) / max(1, len(text))
+        depth = sum(map(bool, path.split("/")))
+        row[:] = (len(url), len(host), len(path), depth, digits(url), digits(host), entropy(host), entropy(path), sum(map(bool, query.split("&"))), *(rates.get(s, prior) for s in suffixes(host)))
     return x
 
 
@@ -110,10 +113,7 @@ class Boosted:
         for tree in self.trees:
             at = np.zeros(len(x), np.int64)
             feature, limit, left, right, value = (np.array(c) for c in zip(*tree, strict=True))
-            for _ in range(8):
-                inner = feature[at] >= 0
-                if not inner.any():
-                    break
+            while (inner := feature[at] >= 0).any():
                 go = x[np.arange(len(x)), feature[at].clip(min=0)] <= limit[at]
                 at = np.where(inner, np.where(go, left[at], right[at]), at)
             y += value[at]
@@ -152,65 +152,82 @@ def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, rate: float)
     return nodes
 
 
-def fit(urls: list[str], block: np.ndarray, rounds: int = 30, depth: int = 3, rate: float = 0.3) -> Boosted:
-    """Train on labelled URLs. Suffix rates are smoothed, and an URL's own label is left out of its own rates."""
+def fit(urls: list[str], block: np.ndarray, rounds: int = 40, depth: int = 4, rate: float = 0.2) -> Boosted:
+    """Train on labelled URLs. Every other one teaches the suffix rates (smoothed), the rest the trees, so that no label
+    reaches the trees through its own suffix."""
+    prior = float(np.mean(block)) if len(block) else 0.5
     total, bad = Counter(), Counter()
-    for u, b in zip(urls, block, strict=True):
+    for u, b in zip(urls[::2], block[::2], strict=True):
         for s in suffixes(split_url(u)[0]):
             total[s] += 1
             bad[s] += int(b)
-    prior = float(np.mean(block)) if len(block) else 0.5
     m = Boosted({s: (bad[s] + 4 * prior) / (n + 4) for s, n in total.items() if n >= 5}, prior)
     if not len(block) or prior in (0.0, 1.0):
         m.base = 4.0 if prior == 1 else -4.0
         return m
-    x = lexical(urls, m.rates, prior)
-    for k in range(3):
-        for i, (u, b) in enumerate(zip(urls, block, strict=True)):
-            s = suffixes(split_url(u)[0])[k]
-            if s in m.rates:
-                x[i, FEATURES - 3 + k] = (bad[s] - b + 4 * prior) / (total[s] + 3)
+    x, label = lexical(urls[1::2], m.rates, prior), block[1::2]
     m.base = float(np.log(prior / (1 - prior)))
     y = np.full(len(x), m.base)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-y))
-        tree = _grow(x, p - block, p * (1 - p), depth, rate)
+        tree = _grow(x, p - label, p * (1 - p), depth, rate)
         m.trees.append(tree)
         y = y + Boosted(trees=[tree]).raw(x)
     return m
 
 
-#: Words of which the training URLs are made: hosts to block, and plain ones.
-_BAD = ("casino", "bets", "pills", "win", "cheap", "free", "spam", "farm", "ads", "track", "click", "bonus", "loan", "crack", "poker", "replica")
-_GOOD = ("garden", "library", "museum", "review", "kitchen", "science", "weather", "school", "village", "music", "travel", "history", "nature", "design", "council", "journal")
+#: Syllables of which the training URLs' names are made; no name tells the label.
+_SYLLABLES = ("ba", "ce", "di", "fo", "gu", "ha", "ki", "lo", "mar", "nel", "or", "pin", "qua", "rest", "sol", "tan", "ul", "ver", "win", "yes", "zen")
 
 
-def labelled_urls(n: int = 1200, seed: int = 5) -> tuple[list[str], np.ndarray]:
-    """Labelled URLs made by rule: blocked ones have joined selling words in the host, often digits and parameters."""
+def labelled_urls(n: int = 4000, seed: int = 5) -> tuple[list[str], np.ndarray]:
+    """Labelled URLs made by rule. Every trait is found in both classes, and none decides: a URL's odds of being blocked
+    add up digits and randomness in the host, digits in the path, parameters, depth, length and the site it is on, and
+    parameters on a random host count extra. The label is drawn with these odds. Hyphens and words have no part in it."""
     rng = np.random.default_rng(seed)
-    pairs = list(itertools.permutations(_BAD, 2))
+    name = lambda k: "".join(rng.choice(_SYLLABLES, k))
+    noise = lambda k: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), k))
+    sites = [(f"{name(2)}.{top}", float(rng.normal(0, 1.2))) for top in ("com", "org", "net", "info") for _ in range(10)]
+    tops = {"com": 0.0, "org": -0.6, "net": 0.2, "info": 0.9}
     urls, block = [], []
     for _ in range(n):
-        bad = rng.random() < 0.4
-        if bad:
-            a, b = pairs[rng.integers(len(pairs))]
-            host = f"{a}-{b}" + (str(rng.integers(100)) if rng.random() < 0.2 else "")
+        odd, digits, depth, pars = rng.random() < 0.35, int(rng.poisson(0.7)), int(rng.integers(0, 7)), int(rng.poisson(0.9))
+        own = noise(int(rng.integers(8, 20))) if odd else name(int(rng.integers(2, 5)))
+        if rng.random() < 0.4:
+            k = int(rng.integers(1, len(own)))
+            own = f"{own[:k]}-{own[k:]}"
+        own += "".join(rng.choice(list("0123456789"), digits))
+        if rng.random() < 0.5:
+            site, worth = sites[rng.integers(len(sites))]
         else:
-            host = _GOOD[rng.integers(len(_GOOD))] + ("".join(rng.choice(list("aeinorst"), rng.integers(0, 5))))
-        host = rng.choice(["", "www.", "blog.", "m."]) + host + rng.choice([".example", ""]) + rng.choice([".com", ".org", ".net"])
-        tail = rng.choice(["", "/", ".html", "?page=2&ref=x", "?utm_source=feed", "#top"])
-        urls.append(f"http{rng.choice(['', 's'])}://{host}/{rng.choice(['en', 'de', 'fr', 'es'])}/{rng.integers(1, 1000)}{tail}")
-        block.append(bad)
+            site = rng.choice(list(tops))
+            worth = 0.0
+        host = f"{rng.choice(['', 'www.', 'blog.', 'm.'])}{own}.{site}"
+        parts = [str(rng.integers(1, 10**6)) if rng.random() < 0.3 else name(int(rng.integers(1, 4))) for _ in range(depth)]
+        numbers = sum(p.isdigit() for p in parts)
+        tail = "/" + "/".join(parts) + rng.choice(["", "/", ".html"]) if parts else rng.choice(["", "/"])
+        query = "&".join(f"{name(1)}={noise(int(rng.integers(1, 12)))}" for _ in range(pars))
+        urls.append(f"http{rng.choice(['', 's'])}://{host}{tail}{'?' + query if query else ''}{rng.choice(['', '', '#top'])}")
+        odds = -4.4 + 1.6 * odd + 0.9 * digits + 0.9 * pars + 0.5 * numbers + 0.25 * depth + 1.2 * (odd and pars > 0) + worth + tops[site.rpartition(".")[2]]
+        block.append(rng.random() < 1 / (1 + np.exp(-2 * odds)))
     return urls, np.array(block, float)
 
 
+@lru_cache(1)
+def made_by_rule() -> Boosted:
+    return fit(*labelled_urls())
+
+
 def judge(pages: DataFrame, rules: Iterable[Rule] = RULES, model: Boosted | None = None, threshold: float = 0.5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, score) for each row: the longest fitting rule's verdict, else the trees'.
 
+    ``threshold``: the least score that blocks.
+
     A null url, or one without ``://``, has empty host and path, fits no rule and is judged by the trees. Rows with
     equal or null ids are judged each for itself. Other columns are ignored.
     """
-    book, model = RuleBook(rules), model or fit(*labelled_urls())
+    book, model = RuleBook(rules), model or made_by_rule()
+    small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
