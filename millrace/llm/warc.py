@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .store import folder, keep, sized_broadcast
+from .store import folder, keep, sized_broadcast, small_batches
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -34,6 +34,10 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*groups), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
+#: Rows of one payload from which on they are not brought together.
+HEAVY = 2000
+
+
 def with_types(pages: DataFrame, least: int = 0) -> DataFrame:
     """(page_id, url, html, payload_bytes, payload_digest, refers_to) of each row.
 
@@ -43,12 +47,17 @@ def with_types(pages: DataFrame, least: int = 0) -> DataFrame:
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("payload_digest", base32_sha1(F.encode("html", "UTF-8")))
-    rows = rows.withColumn("salt", F.pmod(F.hash("page_id"), F.lit(16)))
     some = rows.where((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull())
-    copied = some.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("last"), F.min("page_id").alias("first")).where("first < last")
-    copied = keep(copied.select("payload_digest", "payload_bytes", "last", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt")), "copied")
-    out = rows.join(copied, ["payload_digest", "payload_bytes", "salt"], "left")
-    return out.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(F.col("page_id") < F.col("last"), F.col("last")).alias("refers_to"))
+    same = ["payload_digest", "payload_bytes"]
+    copied = some.groupBy(same).agg(F.max("page_id").alias("last"), F.min("page_id").alias("first"), F.count("*").alias("n")).where("first < last")
+    copied = keep(copied, "copied")
+    # A payload of many rows is joined by broadcast (there are rows / HEAVY of them at most), its rows then spread out.
+    heavy = copied.where(F.col("n") > HEAVY).select(*same, F.col("last").alias("most"))
+    light = copied.where(F.col("n") <= HEAVY).select(*same, "last", F.lit(0).alias("salt"))
+    out = rows.join(sized_broadcast(heavy), same, "left")
+    out = out.withColumn("salt", F.when(F.col("most").isNull(), 0).otherwise(F.pmod(F.xxhash64("page_id"), F.lit(1 << 20)) + 1).cast("int"))
+    out = out.join(light, [*same, "salt"], "left").withColumn("last", F.coalesce("most", "last"))
+    return out.select("page_id", "url", "html", *same, F.when(F.col("page_id") < F.col("last"), F.col("last")).alias("refers_to"))
 
 
 def write(pages: DataFrame, path: str, least: int = 0, records: int = 4096) -> None:
@@ -145,18 +154,25 @@ def _exits(key, frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _reached(key, frame: pd.DataFrame) -> pd.DataFrame:
-    """Owner of each piece of a split: itself where the chain from the split's entry reaches it, else the last before."""
+    """Owner of each piece of a split, and the owner's end: the piece itself where the chain from the split's entry
+    reaches it, else the last reached before. ahead: the end of the last one, if that lies beyond this split's pieces."""
     after = dict(zip(frame["offset"], frame["next"], strict=True))
-    at, on = frame["entry"].iloc[0], set()
-    while pd.notna(at) and at in after and at not in on:
+    at, on, ahead = frame["entry"].iloc[0], set(), None
+    while pd.notna(at) and at in after and pd.notna(after[at]):
         on.add(int(at))
         at = after[at]
+    if pd.notna(at) and on and at not in after:
+        if at > max(after):
+            ahead = int(at)
+        else:  # it ends where no record begins
+            on.discard(max(on))
     order = sorted(after)
     owner, last = [], None
     for o in order:
         last = o if o in on else last
         owner.append(last)
-    return pd.DataFrame({"file": key[0], "block": key[1], "offset": order, "owner": pd.array(owner, "Int64")})
+    end = [None if x is None else int(after[x]) for x in owner]
+    return pd.DataFrame({"file": key[0], "block": key[1], "offset": order, "owner": pd.array(owner, "Int64"), "end": pd.array(end, "Int64"), "ahead": pd.array([ahead] * len(order), "Int64")})
 
 
 RECORD = ["file", "offset", "fields", "payload_bytes", "payload_digest", "payload"]
@@ -170,7 +186,7 @@ def _joined(bodies: bool):
             rows = []
             for file, offset, parts in zip(*(batch.column(c).to_pylist() for c in ("file", "owner", "bodies")), strict=True):
                 piece = MAGIC.encode().join(x["body"] for x in parts)
-                fields, start, length = parse(piece)
+                fields, start, length = parse(piece)  # whole: pieces are those up to the record's end
                 payload = payload_of(piece[start : start + length])
                 rows.append((file, offset, [fields.get(f, "") for f in FIELDS], len(payload), digest(payload), payload if bodies else None))
             kinds = (pa.string(), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.string(), pa.binary())
@@ -182,9 +198,11 @@ def _joined(bodies: bool):
 def verified_records(spark: SparkSession, path: str, bodies: bool = True) -> DataFrame:
     """(file, offset, fields, payload_bytes, payload_digest, payload) of the records of the archives below ``path``.
 
-    A file that does not begin with a record has none. payload is null unless ``bodies``. A chain that leaves the
-    candidates (a broken length) ends there; what follows belongs to nothing and is left out.
+    A file that does not begin with a record has none. payload is null unless ``bodies``. A record counts if its end is
+    the end of the file or the place of a version line. One with a wrong length, or cut short, is left out, and with it
+    what follows in its file: where the chain breaks, nothing says which version lines are true.
     """
+    small_batches(spark)
     text = spark.read.option("lineSep", MAGIC).text(path)
     text = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
     pieces = keep(text.mapInArrow(_candidates, CANDIDATE), "pieces")
@@ -207,12 +225,19 @@ def verified_records(spark: SparkSession, path: str, bodies: bool = True) -> Dat
         far = jump.select("file", F.col("offset").alias("exit"), F.col("exit").alias("further"))
         jump = keep(jump.join(far, ["file", "exit"]).select("file", "offset", F.col("further").alias("exit")), "jump")
 
-    entry = chain.join(entries, ["file", "offset"], "left_semi").groupBy("file", "block").agg(F.min("offset").alias("entry"))
-    own = chain.join(sized_broadcast(keep(entry, "entry")), ["file", "block"], "left").groupBy("file", "block").applyInPandas(_reached, "file string, block long, offset long, owner long")
+    entry = keep(chain.join(entries, ["file", "offset"], "left_semi").groupBy("file", "block").agg(F.min("offset").alias("entry")), "entry")
+    own = chain.join(sized_broadcast(entry), ["file", "block"], "left").groupBy("file", "block").applyInPandas(_reached, "file string, block long, offset long, owner long, end long, ahead long")
     own = keep(own, "owners")
-    last = own.groupBy("file", "block").agg(F.max("owner").alias("last"))
-    before = last.select("file", "block", F.max("last").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)).alias("before"))
-    own = own.join(sized_broadcast(keep(before, "before")), ["file", "block"]).select("file", "offset", F.coalesce("owner", "before").alias("owner")).where("owner is not null")
+    last = own.groupBy("file", "block").agg(F.max(F.struct(F.col("owner").alias("o"), F.col("end").alias("e"))).alias("last"), F.max("ahead").alias("ahead"))
+    before = last.select("file", "block", F.max(F.when(F.col("last.o").isNotNull(), F.col("last"))).over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)).alias("before"))
+    own = own.join(sized_broadcast(keep(before, "before")), ["file", "block"])
+    own = own.select("file", "offset", F.when(F.col("owner").isNull(), F.col("before")).otherwise(F.struct(F.col("owner").alias("o"), F.col("end").alias("e"))).alias("own"))
+    own = own.select("file", "offset", F.col("own.o").alias("owner"), F.col("own.e").alias("end")).where("offset < end")
+    # Of each split the last record may end in another: at that one's entry, or at the end of the file.
+    ends = totals.groupBy("file").agg((F.sum("total") - len(MAGIC)).alias("length"))
+    ahead = last.where("ahead is not null").select("file", F.col("last.o").alias("owner"), F.col("ahead").alias("entry"))
+    broken = ahead.join(entry.select("file", "entry"), ["file", "entry"], "left_anti").join(ends, "file").where("entry != length").select("file", "owner")
+    own = own.join(sized_broadcast(keep(broken, "broken")), ["file", "owner"], "left_anti")
 
     parts = placed.join(own, ["file", "offset"])
     heads = parts.where("owner = offset and fields is not null")
@@ -229,19 +254,22 @@ def verified_records(spark: SparkSession, path: str, bodies: bool = True) -> Dat
 
 
 def read(spark: SparkSession, path: str, bodies: bool = True) -> DataFrame:
-    """(page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload) of each record. A revisit has the
-    length and digest that its header states; a response those of the payload that was read."""
+    """(page_id, url, record_type, refers_to, payload_bytes, payload_digest, intact, payload) of each record. A revisit has
+    the length and digest that its header states; a response those of the payload that was read. intact: whether a
+    response's payload has the digest that its header states."""
     r = verified_records(spark, path, bodies)
     f = {name: F.col("fields")[k] for k, name in enumerate(FIELDS)}
     page = lambda x: F.regexp_extract(x, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
     revisit = f["WARC-Type"] == "revisit"
+    stated = F.regexp_replace(f["WARC-Payload-Digest"], "^sha1:", "")
     return r.select(
         page(f["WARC-Record-ID"]).alias("page_id"),
         f["WARC-Target-URI"].alias("url"),
         f["WARC-Type"].alias("record_type"),
         F.when(revisit, page(f["WARC-Refers-To"])).alias("refers_to"),
         F.when(revisit, f["X-Payload-Length"].try_cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        F.when(revisit, F.regexp_replace(f["WARC-Payload-Digest"], "^sha1:", "")).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        F.when(revisit, stated).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        F.when(~revisit, F.col("payload_digest") == stated).alias("intact"),
         "payload",
     )
 
