@@ -15,9 +15,10 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import small_batches
 from .textops import NONSPACE, U, Words, blocks, mix, raw
 
 #: The share of equal samples has a standard error of sqrt(s (1 - s) / SAMPLES) at similarity s: 0.035 at 0.8, 0.027 at 0.9.
@@ -115,6 +116,17 @@ def _in_order(width: int):
     return run
 
 
+def placed(spark: SparkSession, n: int) -> np.ndarray:
+    """For each of ``n`` partitions a number that ``repartition(n, number)`` deals to it, so that each range has a
+    partition of its own."""
+    found: dict[int, int] = {}
+    size = 16 * n
+    while len(found) < n:
+        rows = spark.range(size).select(F.col("id").cast("int").alias("x")).groupBy(F.pmod(F.hash("x"), F.lit(n)).alias("part")).agg(F.min("x").alias("x"))
+        found, size = {r["part"]: r["x"] for r in rows.collect()}, 4 * size  # a row a partition
+    return np.array([found[k] for k in range(n)], np.int32)
+
+
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -126,21 +138,23 @@ def fingerprint_chain(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id
     own next. Null texts are empty; an empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     least = -(2**63)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     key = F.coalesce("doc_id", F.lit(least))
     cuts = base.select(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], 100 * n).alias("x")).first()["x"] or []
     bounds = np.array(sorted(set(cuts)), np.int64)
+    own = placed(spark, n)
 
     @F.pandas_udf("int")
     def bucket(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, k.to_numpy(), "right").astype(np.int32))
+        return pd.Series(own[np.searchsorted(bounds, k.to_numpy(), "right")])
 
-    firsts = sorted(tuple(r) for r in base.groupBy(bucket(key).alias("b")).agg(F.min(key).alias("k")).collect())  # a row a bucket
+    firsts = sorted((r["k"], r["b"]) for r in base.groupBy(bucket(key).alias("b")).agg(F.min(key).alias("k")).collect())  # a row a bucket
     if not firsts:
         return spark.createDataFrame([], OUT)
-    before = {k: firsts[i - 1][0] for i, (_, k) in enumerate(firsts)}
+    before = {k: firsts[i - 1][1] for i, (k, _) in enumerate(firsts)}
     to = spark.createDataFrame(list(before.items()), "k long, bucket int")
     heads = base.where(key.isin(list(before))).groupBy("doc_id").agg(F.min("text").alias("text"))
     ghosts = heads.join(F.broadcast(to), key == F.col("k")).select("doc_id", "text", "bucket", F.lit(True).alias("ghost"))
