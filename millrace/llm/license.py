@@ -19,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import small_batches
 from .textops import ALNUM, Words, blocks, raw
 
 #: Exact phrases: every place where their words stand consecutively counts, under the label.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Notices: label, text, mandatory key phrase.
+#: Notices (fixed values: the licences' own words): label, text, mandatory key phrase.
 NOTICES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
     ("mit", "released under the mit license", "mit license"),
@@ -37,6 +38,56 @@ NOTICES = (
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     ("cc-by", "licensed under cc by 4 0", "cc by 4 0"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without "
+        "restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the "
+        "software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "deal in the software without restriction",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission "
+        "notice appear in all copies",
+        "for any purpose with or without fee is hereby granted",
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain "
+        "the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and "
+        "the following disclaimer in the documentation and or other materials provided with the distribution",
+        "redistributions in binary form must reproduce",
+    ),
+    (
+        "apache-2",
+        "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or "
+        "agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+        "www apache org licenses license 2 0",
+    ),
+    (
+        "gpl-3",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 "
+        "of the license or at your option any later version",
+        "general public license as published by the free software foundation either version 3",
+    ),
+    (
+        "gpl-2",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 "
+        "of the license or at your option any later version",
+        "general public license as published by the free software foundation either version 2",
+    ),
+    (
+        "zlib",
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions "
+        "the origin of this software must not be misrepresented you must not claim that you wrote the original software",
+        "alter it and redistribute it freely",
+    ),
+    (
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or "
+        "as a compiled binary for any purpose commercial or non commercial and by any means",
+        "free and unencumbered software released into the public domain",
+    ),
 )
 
 
@@ -156,6 +207,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices=NO
     Null, empty and wordless texts have no words, no labels (empty strings) and score 0. Rows with equal or null ids
     are scanned each for itself. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     made = templates(phrases, notices)
     vocabulary = np.array(sorted({w for x in made for w in x.words}), np.uint64)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
