@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import small_batches
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style)\b[^>]*+>.*?(?:</\1\s*+>|\Z)"
@@ -29,6 +31,8 @@ TOKEN = re.compile(
     r"|<[!?][^>]*+>",
     re.S | re.I,
 )
+#: A tag with a quote that does not close.
+BROKEN = re.compile(r"<()(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>", re.I)
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 UNSHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 
@@ -36,7 +40,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that are never main text.
 OUTSIDE = frozenset("head nav header footer aside form button select textarea noscript template iframe svg dialog menu object".split())
-#: Parts of class, id and role that name boilerplate.
+#: Parts of class, id and role that name boilerplate. Marked pages cannot teach these alone: an advert or a notice within
+#: a main element is inside by its page's marks, and is to be left out all the same.
 NAMES = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer form header menu nav navbar navigation newsletter "
     "notice notices popup promo promotion related respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
@@ -90,11 +95,28 @@ class Weights:
         return tag in OUTSIDE or bool(parts & NAMES) or any(self.odds.get(f"{tag}.{p}", 0.0) >= self.sure for p in parts)
 
 
+def tokens(page: str) -> Iterator[re.Match]:
+    """Comments, scripts, styles and tags in page order, in time that grows with the page alone: a "<" that begins none of
+    them is text, one whose quotes do not close ends at the next ">", and behind the last ">" only a comment can begin."""
+    last, at = page.rfind(">"), page.find("<")
+    while at >= 0:
+        m = TOKEN.match(page, at) if at < last or page.startswith("<!--", at) else None
+        if not m and at < last and page[at + 1 : at + 2].strip("/").isalpha():
+            m = BROKEN.match(page, at)
+        if not m and at >= last:
+            at = page.find("<!--", at + 1)
+            continue
+        if m:
+            yield m
+        at = page.find("<", m.end() if m else at + 1)
+
+
 def walk(page: str, weights: Weights) -> Iterator[tuple[str, str, float, bool, bool]]:
     """(kind, text, score, outside, inside a marked main element) of each run of text and each tag, in page order."""
     stack: list[tuple[str, bool, bool]] = []
-    out = marked = at = 0
-    for m in TOKEN.finditer(page):
+    opened: Counter[str] = Counter()
+    firmly = softly = out = marked = at = base = 0  # base: elements open from here on count by their names
+    for m in tokens(page):
         if m.start() > at and (text := page[at : m.start()]).strip():
             n = len(text.split())
             yield "text", text, -n * FAINT if out else n, out > 0, marked > 0
@@ -105,26 +127,33 @@ def walk(page: str, weights: Weights) -> Iterator[tuple[str, str, float, bool, b
             continue
         tag = m[3].lower()
         if m[2]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if depth is not None:
-                for name, flag, _ in stack[depth:]:
-                    out -= flag
-                    marked -= name in MAIN
-                del stack[depth:]
+            while opened[tag]:  # ends what is open within it too
+                name, flag, firm = stack.pop()
+                opened[name] -= 1
+                firmly -= firm
+                softly -= flag and not firm and len(stack) >= base
+                base = min(base, len(stack))
+                marked -= name in MAIN
+                if name == tag:
+                    break
+            out = firmly + softly
             yield "/" + tag, "", -FAINT, out > 0, marked > 0
             continue
         given = attributes(m[4]) if m[4].strip() else {}
         parts = names(given)
         if tag == "main":  # what holds it is boilerplate by its element or as hidden only, not by its names
-            stack = [(name, flag and firm, firm) for name, flag, firm in stack]
-            out = sum(flag for _, flag, _ in stack)
+            softly, base = 0, len(stack)
+            out = firmly
         firm = tag in OUTSIDE or hidden(given)
         flag = firm or weights.outside(tag, parts)
         cost = FAINT if out or flag else weights.cost([f"{tag}.{p}" for p in parts] or [tag])
         yield tag, " ".join(sorted(parts)), -cost, out > 0, marked > 0
         if tag not in VOID and not m[4].endswith("/"):
             stack.append((tag, flag, firm))
-            out += flag
+            opened[tag] += 1
+            firmly += firm
+            softly += flag and not firm
+            out = firmly + softly
             marked += tag in MAIN
     if at < len(page):
         n = len(page[at:].split())
@@ -199,7 +228,9 @@ UNREAD = r"(?is)<!--.*?(-->|\z)|<(script|style)\b[^>]*+>.*?(</\2\s*+>|\z)"
 
 def learn(pages: DataFrame, sample: int = 500, keys: int = 5000, id_col: str = "page_id", html_col: str = "html") -> Weights:
     """Weights from the ``sample`` pages with a main element of least id hash, of tags and classes seen there five times
-    or more."""
+    or more: of the ``keys`` of these that stand outside main elements most often (what is not among them costs nothing).
+    Pages without an id or html teach nothing; without a marked page no tag has a weight."""
+    small_batches(pages.sparkSession)
     some = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html")).where("page_id is not null and html is not null")
     some = some.where(F.col("html").rlike(OPENS) & F.regexp_replace("html", UNREAD, "").rlike(OPENS))
     ids = [r["page_id"] for r in some.select("page_id", F.xxhash64("page_id").alias("h")).orderBy("h", "page_id").limit(sample).collect()]
