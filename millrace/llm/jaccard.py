@@ -5,13 +5,13 @@ and the sum of coordinate minima of two points bounds the intersection from abov
 reaches the threshold are verified on the sets themselves.
 
 Two sets that reach the threshold differ in at most K(size) shingles. Routing uses this on the coordinates: at each
-size level the groups are dealt into more blocks than K, so a linked pair agrees on the whole of at least one block
-that is not empty. A pair therefore meets in a bucket of equal blocks, however frequent its single shingles are: a
-passage that many documents share fills hardly any block alone. Within a bucket
+size level the hashes are dealt by their leading bits into more blocks than K, so a linked pair agrees on the whole of at
+least one block that is not empty. A pair therefore meets in a bucket of equal blocks, however frequent its single
+shingles are: a passage that many documents share fills hardly any block alone. Within a bucket
 
 1. every member is verified against a hub (bound first, then sets), and links are contracted to components;
-2. in buckets of three or more that still hold several components, an R-tree over the members' points finds, for each
-   member outside the largest component, the partners in other components whose bound suffices. They are verified
+2. in buckets of three or more that still hold several components, R-trees over the members' points (one for each
+   ``MEMBERS`` of a bucket, in tasks of their own) find, for each member outside the largest component, the partners in other components whose bound suffices. They are verified
    best bound first, 1, then 16, then 256 ... a member, until it is connected or no partner is left. So no link
    between components is lost, and members of a large group of near copies are not paired with each other once they
    are connected.
@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import components, keep, sized_broadcast
+from .store import components, forget, keep, sized_broadcast, small_batches
 from .textops import NONSPACE, U, Words, as_long, blocks, mix, raw
 
 
@@ -210,23 +210,31 @@ class CountTree:
             out[:, i : i + block] = np.minimum(queries[:, :, None], others[:, None, i : i + block]).sum(0, dtype=self.kind)
         return out
 
+    def near(self, points: np.ndarray, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, member, slack) of members whose summed coordinate minima with a query's point suffice for a link;
+        slack: the sum above what is needed. ``points``: a row of counts a query, few at once."""
+        n = points.sum(1, dtype=np.int64)
+        if len(n) and n.max() >= 65_536 and self.kind is np.uint16:
+            self.kind, self.columns, self.top = np.int64, self.columns.astype(np.int64), self.top.astype(np.int64)
+        q = np.ascontiguousarray(points.T.astype(self.kind))
+        fits = self._bound(q, self.top) >= rule.needed(n[:, None] + self.low)
+        fits &= (self.high * rule.den >= rule.num * n[:, None]) & (n[:, None] * rule.den >= rule.num * self.low)
+        for k in np.flatnonzero(fits.any(0)):
+            some = np.flatnonzero(fits[:, k])
+            members = self.order[self.cut[k] : self.cut[k] + self.page]
+            slack = self._bound(q[:, some], self.columns[:, self.cut[k] : self.cut[k] + self.page]) - rule.needed(n[some, None] + self.size[members])
+            x, y = np.nonzero(slack >= 0)
+            yield some[x], members[y], slack[x, y]
+
     def search(self, ask: np.ndarray, rule: Rule, block: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(query, member, slack) of members whose summed coordinate minima with a query suffice for a link; queries
-        are members too, and are not paired with themselves. slack: the sum above what is needed."""
+        """The same for members ``ask``, which are not paired with themselves."""
         place = np.empty(len(self.order), np.int64)
         place[self.order] = np.arange(len(self.order))
         for i in range(0, len(ask), block):
             rows = ask[i : i + block]
-            q, n = self.columns[:, place[rows]], self.size[rows]
-            fits = self._bound(q, self.top) >= rule.needed(n[:, None] + self.low)
-            fits &= (self.high * rule.den >= rule.num * n[:, None]) & (n[:, None] * rule.den >= rule.num * self.low)
-            for k in np.flatnonzero(fits.any(0)):
-                some = np.flatnonzero(fits[:, k])
-                members = self.order[self.cut[k] : self.cut[k] + self.page]
-                slack = self._bound(q[:, some], self.columns[:, self.cut[k] : self.cut[k] + self.page]) - rule.needed(n[some, None] + self.size[members])
-                x, y = np.nonzero(slack >= 0)
-                own = rows[some[x]] != members[y]
-                yield rows[some[x[own]]], members[y[own]], slack[x[own], y[own]]
+            for x, y, slack in self.near(self.columns[:, place[rows]].T, rule):
+                own = rows[x] != y
+                yield rows[x[own]], y[own], slack[own]
 
 
 def _verify(rule: Rule):
@@ -283,66 +291,94 @@ def _points_of(column: pa.Array) -> np.ndarray:
     return np.stack([np.frombuffer(p, np.uint16 if len(p) == 2 * GROUPS else np.uint32) for p in column.to_pylist()])
 
 
-def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """(k1, comp, ask, point) of each bucket, from rows sorted by sig."""
-    held: list[tuple[np.ndarray, ...]] = []  # parts of the last bucket
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sig = batch.column("sig").to_numpy()
-        part = (batch.column("k1").to_numpy(), batch.column("comp").to_numpy(), batch.column("ask").to_numpy(zero_copy_only=False), _points_of(batch.column("point")))
-        cut = np.flatnonzero(sig[1:] != sig[:-1]) + 1
-        for i, j in zip([0, *cut], [*cut, len(sig)], strict=True):
-            if held and sig[i] != last:
-                yield tuple(map(np.concatenate, zip(*held, strict=True)))
-                held = []
-            last = sig[i]
-            held.append(tuple(c[i:j] for c in part))
-    if held:
-        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+#: Members of a bucket, about, that one task puts in a tree; larger buckets are dealt to several.
+MEMBERS = 1024
+
+#: Queries whose partners are ranked at once.
+ASKED = 64
+
+
+class _Part:
+    """One part of a bucket: its members' tree, and the partners of those who ask."""
+
+    def __init__(self, rule: Rule, most: int):
+        self.rule, self.most = rule, most
+        self.held: list[tuple[np.ndarray, ...]] = []  # (k1, comp, ask, point) of members
+        self.tree: CountTree | None = None
+
+    def plant(self) -> Iterator[np.ndarray]:
+        """Once all members are there: their tree, and pairs of those among them who ask."""
+        if self.tree is not None or not self.held:
+            return
+        k, comp, ask, points = map(np.concatenate, zip(*self.held, strict=True))
+        self.k, one = np.unique(k, return_index=True)
+        self.comp, ask, points = comp[one], ask[one], points[one]
+        self.tree, self.held = CountTree(points), []
+        if ask.any():
+            yield from self.pairs(self.k[ask], self.comp[ask], points[ask])
+
+    def pairs(self, k: np.ndarray, comp: np.ndarray, points: np.ndarray) -> Iterator[np.ndarray]:
+        """(hub, k1, more): of each query the ``most`` best partners in other components whose bound suffices. more: 1 if
+        the hub has further partners, 2 if k1 has."""
+        for i in range(0, len(k) if self.tree is not None else 0, ASKED):
+            rows = slice(i, i + ASKED)
+            got = [(x[o], y[o], z[o]) for x, y, z in self.tree.near(points[rows], self.rule) if (o := comp[rows][x] != self.comp[y]).any()]
+            if not got:
+                continue
+            x, y, slack = (np.concatenate(c) for c in zip(*got, strict=True))
+            order = np.lexsort((self.k[y], -slack, x))
+            x, y = x[order], y[order]
+            rank = np.arange(len(x)) - np.searchsorted(x, x)
+            more = (rank == 0) & np.isin(x, x[rank == self.most])
+            kept = rank < self.most
+            a, b, more = k[rows][x[kept]], self.k[y[kept]], more[kept]
+            yield np.stack((np.minimum(a, b), np.maximum(a, b), np.where(more, np.where(a < b, 1, 2), 0)))
 
 
 def _across(rule: Rule, most: int):
-    def pairs(k: np.ndarray, comp: np.ndarray, ask: np.ndarray, points: np.ndarray) -> np.ndarray:
-        """One bucket: pairs of different components whose bound suffices, the ``most`` best of each member asked for,
-        at first of all outside the largest component. more: 1 if the hub has further partners, 2 if k1 has."""
-        k, one = np.unique(k, return_index=True)
-        comp, ask = comp[one], ask[one]
-        values, counts = np.unique(comp, return_counts=True)
-        rest = np.flatnonzero(ask & (comp != values[counts.argmax()])) if most == FIRST else np.flatnonzero(ask)
-        if not len(rest) or len(values) == 1:
-            return np.zeros((3, 0), np.int64)
-        got = [(x[o], y[o], z[o]) for x, y, z in CountTree(points[one]).search(rest, rule) if (o := comp[x] != comp[y]).any()]
-        if not got:
-            return np.zeros((3, 0), np.int64)
-        x, y, slack = (np.concatenate(c) for c in zip(*got, strict=True))
-        order = np.lexsort((k[y], -slack, x))
-        x, y = x[order], y[order]
-        rank = np.arange(len(x)) - np.searchsorted(x, x)
-        more = (rank == 0) & np.isin(x, x[rank == most])
-        a, b, more = k[x[rank < most]], k[y[rank < most]], more[rank < most]
-        return np.stack((np.minimum(a, b), np.maximum(a, b), np.where(more, np.where(a < b, 1, 2), 0)))
+    """Rows (sig, part, k1, comp, ask, member, point), of each part of a bucket its members first."""
+
+    def sent(found: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in np.unique(np.concatenate([np.zeros((3, 0), np.int64), *found], axis=1), axis=1)], ["hub", "k1", "more"])
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        key, now = None, _Part(rule, most)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig, part, k, comp = (batch.column(c).to_numpy() for c in ("sig", "part", "k1", "comp"))
+            ask, member = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("ask", "member"))
+            points = _points_of(batch.column("point"))
+            cut = np.flatnonzero((sig[1:] != sig[:-1]) | (part[1:] != part[:-1])) + 1
+            for i, j in zip([0, *cut], [*cut, len(sig)], strict=True):
+                if (sig[i], part[i]) != key:
+                    yield from now.plant()
+                    key, now = (sig[i], part[i]), _Part(rule, most)
+                m = i + int(member[i:j].sum())
+                if i < m:
+                    now.held.append((k[i:m], comp[i:m], ask[i:m], points[i:m]))
+                if m < j:  # queries from other parts
+                    yield from now.plant()
+                    yield from now.pairs(k[m:j], comp[m:j], points[m:j])
+        yield from now.plant()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, total = [np.zeros((3, 0), np.int64)], 0
-        for bucket in _whole_buckets(batches):
-            found.append(pairs(*bucket))
-            total += found[-1].shape[1]
+        found, total = [], 0
+        for pairs in every(batches):
+            found.append(pairs)
+            total += pairs.shape[1]
             if total >= SEND:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.unique(np.concatenate(found, axis=1), axis=1)], ["hub", "k1", "more"])
-                found, total = [np.zeros((3, 0), np.int64)], 0
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.unique(np.concatenate(found, axis=1), axis=1)], ["hub", "k1", "more"])
+                yield sent(found)
+                found, total = [], 0
+        yield sent(found)
 
     return run
 
 
 def _apart(buckets: DataFrame, comp: DataFrame) -> DataFrame:
-    """Rows (sig, k1, comp) of buckets of three or more members in several components; of buckets with the same members
-    (by two 64-bit hashes of the set) one."""
-    n = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Rows (sig, k1, comp, parts) of buckets of three or more members in several components; of buckets with the same
+    members (by two 64-bit hashes of the set) one. parts: in how many the bucket is searched."""
     rows = buckets.join(sized_broadcast(comp.withColumnRenamed("node", "k1")), "k1", "left").select("sig", "k1", F.coalesce("comp", "k1").alias("comp"))
-    rows = rows.repartition(n, "sig")  # one exchange for the count and the join
     whole = rows.groupBy("sig").agg(
         F.count("*").alias("size"),
         F.min("comp").alias("lo"),
@@ -350,9 +386,22 @@ def _apart(buckets: DataFrame, comp: DataFrame) -> DataFrame:
         F.bit_xor(F.xxhash64("k1")).alias("x"),
         F.bit_xor(F.xxhash64(F.lit(1), "k1")).alias("y"),
     )
-    apart = whole.where("size > 2 and lo != hi").groupBy("size", "x", "y").agg(F.min("sig").alias("sig")).select("sig")
-    apart = sized_broadcast(keep(apart, "sigs"))
-    return keep(rows.join(apart, "sig", "left_semi"), "apart")
+    apart = whole.where("size > 2 and lo != hi").groupBy("size", "x", "y").agg(F.min("sig").alias("sig"))
+    apart = keep(apart.select("sig", F.ceil(F.col("size") / MEMBERS).cast("int").alias("parts")), "sigs")
+    return keep(rows.join(sized_broadcast(apart), "sig"), "apart")
+
+
+def _outside(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``_apart``, with ask: whether a member is outside its bucket's largest component."""
+    largest = rows.groupBy("sig", "comp").agg(F.count("*").alias("n")).groupBy("sig").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"))
+    return keep(rows.join(sized_broadcast(keep(largest, "largest")), "sig").select("sig", "k1", "comp", "parts", (F.col("comp") != F.col("largest")).alias("ask")), "asked")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Members in one part of their bucket each, those who ask in every part."""
+    own = F.pmod(F.xxhash64("k1"), F.col("parts")).cast("int")
+    part = F.explode(F.when(F.col("ask"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own)))
+    return rows.select("sig", "k1", "comp", "ask", own.alias("own"), part.alias("part")).select("sig", "part", "k1", "comp", "ask", (F.col("part") == F.col("own")).alias("member"))
 
 
 def _points(rule: Rule):
@@ -373,6 +422,7 @@ def similarity_groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_i
     keeps its n_shingles, links nothing and has a null component_id. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     base = base.withColumn("code", F.xxhash64("text"))
@@ -388,30 +438,40 @@ def similarity_groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_i
         "texts",
     )
     links = keep(verified(pairs, texts, rule), "links")
-    comp = keep(components(links), "comps")
+    comp, used = components(links), [pairs, nodes, texts, links]
 
-    rows, most = _apart(buckets, comp).withColumn("ask", F.lit(True)), FIRST
+    apart = _apart(buckets, comp)
+    rows, most = _outside(apart), FIRST
+    used += [apart, rows]
     while rows.limit(1).count():
         points = texts.join(sized_broadcast(keep(rows.select("k1").distinct(), "left")), "k1").mapInArrow(_points(rule), "k1 long, point binary")
-        full = rows.join(points, "k1").repartition(n, "sig").sortWithinPartitions("sig")
-        found = full.select("sig", "k1", "comp", "ask", "point").mapInArrow(_across(rule, most), "hub long, k1 long, more long").distinct()
+        full = _dealt(rows).join(points, "k1").repartition(n, "sig", "part").sortWithinPartitions("sig", "part", F.desc("member"))
+        found = full.select("sig", "part", "k1", "comp", "ask", "member", "point").mapInArrow(_across(rule, most), "hub long, k1 long, more long").distinct()
         found = keep(found, "across")
         new = keep(found.select("hub", "k1").distinct().join(pairs, ["hub", "k1"], "left_anti"), "new")
         more = found.where("more = 1").select(F.col("hub").alias("k1")).union(found.where("more = 2").select("k1")).distinct()
         more = keep(more.withColumn("ask", F.lit(True)), "more")
         linked = keep(verified(new, texts, rule), "links")
+        used += [found, new, more, linked]
         joined = linked.limit(1).count()
         if joined:
             links = links.union(linked)
-            comp = keep(components(links), "comps")
+            forget(comp)
+            comp = components(links)
         if not more.limit(1).count():
             break
         pairs = pairs.union(new)
-        rows = rows.drop("ask") if not joined else _apart(rows.select("sig", "k1"), comp)
+        if joined:
+            rows = _apart(rows.select("sig", "k1"), comp)
+            used.append(rows)
+        rows = rows.drop("ask")
         rows = keep(rows.join(sized_broadcast(more), "k1", "left").withColumn("ask", F.coalesce("ask", F.lit(False))), "asked")
         asked = keep(rows.where("ask").select("sig").distinct(), "sigs")
+        used += [rows, asked]
         rows = keep(rows.join(sized_broadcast(asked), "sig", "left_semi"), "apart")
+        used.append(rows)
         most *= 16
+    forget(*used)
 
     # A document id stands for its sets, a component for the least id in it.
     class_id = scan.where("n > 0 and doc_id is not null").select("k1", "doc_id").join(comp.withColumnRenamed("node", "k1"), "k1", "left")

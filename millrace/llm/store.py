@@ -51,7 +51,18 @@ def keep(df: DataFrame, name: str = "table") -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove the files of tables that ``keep`` wrote, once nothing will read them again."""
+    for t in tables:
+        if path := getattr(t, "kept_at", None):
+            spark = t.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 #: Rows of at most three numbers each that may be broadcast: at most some 80 bytes a row as a hash table, 32 MB.
@@ -67,7 +78,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, comp) for each node of the undirected ``edges``; comp is the smallest node reachable.
 
     Alternating large-star and small-star contraction: logarithmically many rounds, each of grouped minima and
-    joins, nothing collected. Rows with a null end are ignored; loops give no node.
+    joins, nothing collected. A node of many edges is a hot key of these: minima are pre-aggregated in tasks, and joins on
+    it have one row on the other side, so skewed partitions can be split. Rows with a null end are ignored; loops give no
+    node.
     """
     e = keep(edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).distinct(), "edges")
 
@@ -89,5 +102,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .where("v < u")
             .distinct()
         )
-        e = keep(small, "edges")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select("v", "v").distinct())
+        before, e = e, keep(small, "edges")
+        forget(before)
+    out = keep(e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select("v", "v").distinct()), "comps")
+    forget(e)
+    return out
