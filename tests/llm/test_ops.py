@@ -73,7 +73,25 @@ def test_tree_finds_all(spark):
     assert got == want and want
 
 
-@pytest.mark.parametrize("words", [1, 2, 4, 5, 6, 8, 9])
+def test_join_deals_large_buckets(spark, monkeypatch):
+    """Buckets searched in parts: groups that share half of their words, several partners a member."""
+    monkeypatch.setattr(jaccard, "MEMBERS", 3)
+    monkeypatch.setattr(jaccard, "ASKED", 2)
+    rng = np.random.default_rng(8)
+    shared, rows = [f"s{k}" for k in range(60)], []
+    for family in range(10):
+        base = shared + [f"f{family}x{k}" for k in range(60)]
+        for member in range(6):
+            text = list(base)
+            for _ in range(member):
+                text[int(rng.integers(100, 120))] = f"m{rng.integers(10**6)}"
+            rows.append((len(rows), " ".join(text)))
+    for rule in (jaccard.Rule(4, 85, 100), jaccard.Rule(2, 40, 100)):
+        got = jaccard.similarity_groups(spark.createDataFrame(rows, "doc_id long, text string"), rule)
+        assert Counter(tuple(r) for r in got.collect()) == brute_components(rows, rule.width, rule.num, rule.den)
+
+
+@pytest.mark.parametrize("words", [2, 5, 6, 9])
 def test_join_of_short_texts(spark, words):
     """Tables of nothing but short texts: sets of so few shingles that only equal ones are linked."""
     rows = [(k, " ".join(f"w{(k % 7) * 10 + n}" for n in range(words))) for k in range(20)]
