@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontam, jaccard, langid, packing, toxicity
-from millrace.llm.store import keep, sized_broadcast
+from millrace.llm.store import forget, keep, sized_broadcast
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -27,7 +27,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents (five words, 0.8) keep that of the smallest doc_id. Rows of that id stay; so do
-    documents without an id or without words."""
+    documents without an id or without words. Of the ids that go, a count decides whether they are broadcast."""
     groups = keep(jaccard.similarity_groups(docs, jaccard.Rule()), "groups")
     gone = keep(groups.where("doc_id != component_id").select("doc_id").distinct(), "copies")
     return docs.select(*COLUMNS).join(sized_broadcast(gone), "doc_id", "left_anti").select(*COLUMNS)
@@ -53,15 +53,15 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: No stage's model can be stated in SQL. The join and the benchmark search are tested against plain versions as
-#: operators; the stages themselves are not tested.
+#: No stage's model can be stated in SQL; tests hold every stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = keep(docs, "stage")
+            forget(before)
     return docs
