@@ -26,6 +26,7 @@ from .textops import ALPHA, U, Words, blocks, mix, raw
 ORDER = 5
 SPACE = ord(" ")
 UNIT = 1 / 512  # of a character never seen
+WORDS = 4096  # scored at once
 
 
 def grams(code: np.ndarray, inside: np.ndarray) -> list[np.ndarray]:
@@ -94,7 +95,7 @@ class Model:
         """(text, language) cross-entropy per character, and the characters of each text (0 where it has no letter)."""
         off = raw(column)[1]
         n_lang, total = len(self.languages), []
-        for i, j in blocks(off, 1 << 20):
+        for i, j in blocks(off):
             w = Words(*raw(pc.utf8_lower(column.slice(i, j - i))), 0, j - i, ALPHA, lower=False)
             rows = np.zeros((j - i, n_lang + 1))
             if len(w.hash):
@@ -175,7 +176,8 @@ def estimate(counts: dict[str, Counter]) -> Model:
     h = Words(*raw(pa.array(every, pa.large_string())), 0, len(every), ALPHA, lower=False) if every else None
     if h is not None and len(h.hash) == len(every):
         order = np.argsort(h.hash)
-        m.words, m.known = h.hash[order], m.word_scores(every)[order]
+        scores = np.concatenate([m.word_scores(every[i : i + WORDS]) for i in range(0, len(every), WORDS)])  # few at once, for the driver's memory
+        m.words, m.known = h.hash[order], scores[order]
     else:
         m.words, m.known = np.zeros(0, np.uint64), np.zeros((0, len(languages) + 1))
     return m
