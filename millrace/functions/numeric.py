@@ -11,6 +11,12 @@ def clean(c: Column) -> Column:
     return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
 
 
+def divide(a: Column, b: Column) -> Column:
+    """Quotient; of a zero divisor infinite with the dividend's sign, or not a number for 0 / 0."""
+    inf = lambda sign: F.lit(sign * float("inf"))
+    return F.when(b == 0, F.when(a > 0, inf(1)).when(a < 0, inf(-1)).when(a == 0, F.lit(float("nan")))).otherwise(F.try_divide(a, b).cast("double"))
+
+
 def floor_div(a: Column, b: Column) -> Column:
     """Quotient rounded down; null for a zero divisor."""
     return F.floor(F.try_divide(a, b))

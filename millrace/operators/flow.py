@@ -1,13 +1,15 @@
 """Event flows: ordered sequences of rows, with the event-stream combinators as DataFrame operations.
 
 A flow is a DataFrame with an order column ``seq`` (unique), an optional ``key`` and an optional ``batch`` column.
-Every method returns a new flow; nothing runs until a sink. Order-sensitive combinators number rows by ranges, so no
-task holds the whole table.
+Every method returns a new flow. Order-sensitive combinators number a table's rows by ranges, so no task holds the whole
+of it; to place the ranges they look up quantiles of the order column when they are called. On a stream they run as
+stateful steps (``millrace.streaming``), one sequence a key; the rest runs nothing until a sink.
 """
 
 from __future__ import annotations
 
 import asyncio
+import logging
 import warnings
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -20,18 +22,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import seconds, truthy
+from ..streaming import lowering
 from . import ordered, steps
 
 
 class Flow:
-    def __init__(self, df: DataFrame, seq: str = "seq", key: str | None = None, batch: str | None = None, name: str = "source", upstreams: tuple[Flow, ...] = ()):
-        self.df, self.seq, self.key, self.batch, self.name, self.upstreams = df, seq, key, batch, name, upstreams
+    def __init__(self, df: DataFrame, seq: str = "seq", key: str | None = None, batch: str | None = None, name: str = "source", upstreams: tuple[Flow, ...] = (), trigger: dict[str, Any] | None = None):
+        self.df, self.seq, self.key, self.batch, self.name, self.upstreams, self.trigger = df, seq, key, batch, name, upstreams, trigger
 
     def __repr__(self) -> str:
         return f"<{self.name}: {', '.join(f'{c} {t}' for c, t in self.df.dtypes)}>"
 
     def _next(self, df: DataFrame, name: str, *others: Flow, **changed: Any) -> Flow:
-        return type(self)(df, **{"seq": self.seq, "key": self.key, "batch": self.batch} | changed, name=name, upstreams=(self, *others))
+        return type(self)(df, **{"seq": self.seq, "key": self.key, "batch": self.batch, "trigger": self.trigger} | changed, name=name, upstreams=(self, *others))
 
     # Registry of operators
 
@@ -63,6 +66,13 @@ class Flow:
     def connect(self, other: Flow) -> Flow:
         return self.union(other)
 
+    def disconnect(self, other: Flow) -> Flow:
+        """The union this flow is, without one of its upstreams. A query that runs keeps its graph: start a new one."""
+        left = [u for u in self.upstreams if u is not other]
+        if len(left) == len(self.upstreams) or not left:
+            raise ValueError("not an upstream, or the only one")
+        return left[0].union(*left[1:]) if len(left) > 1 else left[0]
+
     # Elementwise
 
     def transform(self, fn: Callable[..., DataFrame], *args, **kwargs) -> Flow:
@@ -97,6 +107,7 @@ class Flow:
                         except Exception:
                             if on_error == "raise":
                                 raise
+                            logging.getLogger(__name__).exception("an element failed and is left out")
                             return False, None
 
                 return await asyncio.gather(*(one(x) for x in values))
@@ -145,22 +156,22 @@ class Flow:
         """Running fold, a result a row. ``fn`` of sum, min, max, count, product runs as a prefix scan (by ``key`` as a
         window); a function of (state, element) runs row by row, by key."""
         if isinstance(fn, str):
-            kinds = {"sum": F.sum, "min": F.min, "max": F.max, "count": F.count, "product": F.product}
-            if self.key:
-                w = W.partitionBy(self.key).orderBy(self.seq).rowsBetween(W.unboundedPreceding, 0)
-                return self._next(self.df.withColumn(name, kinds[fn](column).over(w)), "accumulate")
-            return self._next(ordered.running(self.df, self.seq, **{name: (fn, F.col(column))}), "accumulate")
+            return self.running(**{name: (fn, column)})
         return self.steps(steps.accumulate(fn, start, **options), column, result)
 
     scan = accumulate
 
+    def running(self, **columns: tuple[str, str]) -> Flow:
+        """Several running folds (kind, column) in one pass, by key, if there is one."""
+        if self.df.isStreaming:
+            return self._next(lowering.running(self.df, self.seq, columns, self.key), "accumulate", seq="seq", batch=None)
+        return self._next(ordered.running(self.df, self.seq, self.key, **{n: (k, F.col(c)) for n, (k, c) in columns.items()}), "accumulate")
+
     def steps(self, step: steps.Step, column: str | None = "value", result: str = "double") -> Flow:
         """Any step function, on a table or, with a key, on a stream."""
         value = (lambda row: row[column]) if column else (lambda row: row)
         if self.df.isStreaming:
-            if not self.key:
-                raise ValueError("a stream needs a key here; a constant one makes it a single sequence")
-            df = steps.run_stream(self.df, self.seq, step, result, value, self.key)
+            df = lowering.sequence(self.df, self.seq, step, result, value, self.key)
         else:
             df = steps.run_bounded(self.df, self.seq, step, result, value, self.key)
         return self._next(df, "steps", seq="seq", batch=None)
@@ -168,16 +179,24 @@ class Flow:
     def frequencies(self, column: str = "value", running: bool = False) -> Flow:
         """Counts of each value; running: the count so far of each row's value."""
         if running:
-            w = W.partitionBy(column).orderBy(self.seq).rowsBetween(W.unboundedPreceding, 0)
-            return self._next(self.df.withColumn("count", F.count("*").over(w)), "frequencies")
+            if self.df.isStreaming:
+                return self._next(lowering.running(self.df, self.seq, {"count": ("count", self.seq)}, column), "frequencies", seq="seq", batch=None)
+            return self._next(ordered.running(self.df, self.seq, column, count=("count", F.lit(1))), "frequencies")
         return self._next(self.df.groupBy(column).count(), "frequencies")
 
+    def _arrays(self, step: steps.Step, column: str, name: str) -> Flow:
+        """Arrays that a step function makes of a stream's elements."""
+        out = lowering.sequence(self.df, self.seq, step, f"array<{dict(self.df.dtypes)[column]}>", lambda row: row[column], self.key)
+        return self._next(out.withColumnRenamed("result", "values"), name, seq="seq", batch=None)
+
     # Windows of events
 
     def slice(self, start: int | None = None, end: int | None = None, step: int | None = None) -> Flow:
         """Rows by place. The step counts from place 0, not from ``start``; an ``end`` of 0 gives nothing."""
         if any(x is not None and x < 0 for x in (start, end, step)):
             raise ValueError("places can't be negative")
+        if self.df.isStreaming:
+            return self._next(lowering.whole_rows(self.df, self.seq, steps.taken(start or 0, end, step), self.key), "slice")
         p = ordered.position(self.df, self.seq, "_pos")
         keep = F.col("_pos") >= (start or 0)
         if end is not None:
@@ -188,6 +207,10 @@ class Flow:
 
     def partition(self, n: int, column: str = "value", keep_partial: bool = False) -> Flow:
         """Arrays of n consecutive elements (by key, if there is one); the tail is left out unless ``keep_partial``."""
+        if self.df.isStreaming:
+            if keep_partial:
+                raise ValueError("a stream has no last part")
+            return self._arrays(steps.partition(n), column, "partition")
         p = ordered.position(self.df, self.seq, "_pos", self.key).withColumn("part", F.floor(F.col("_pos") / n))
         keys = [self.key] if self.key else []
         g = p.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(F.struct(F.col(self.seq).alias("s"), F.col(column).alias("v")))).alias("_x"))
@@ -200,6 +223,8 @@ class Flow:
 
     def sliding_window(self, n: int, column: str = "value", return_partial: bool = True) -> Flow:
         """Array of the last n elements at each row."""
+        if self.df.isStreaming:
+            return self._arrays(steps.sliding_window(n, return_partial), column, "sliding_window")
         if self.key:
             rows, own, parts = self.df, F.lit(True), [self.key]
         else:
@@ -237,9 +262,7 @@ class Flow:
 
     def rate_limit(self, interval: str) -> Flow:
         """Pace of the query that a sink starts: a trigger each interval."""
-        out = self._next(self.df, "rate_limit")
-        out.trigger = {"processingTime": f"{seconds(interval)} seconds"}
-        return out
+        return self._next(self.df, "rate_limit", trigger={"processingTime": f"{seconds(interval)} seconds"})
 
     def buffer(self, n: int | None = None) -> Flow:
         """Nothing to do: sources replay from offsets."""
@@ -256,6 +279,9 @@ class Flow:
     def zip(self, *others: Flow | Any, column: str = "value") -> Flow:
         """Tuples by position, as columns _0, _1, ...; what is not a flow is a constant at its place."""
         flows = [(k, o) for k, o in enumerate((self, *others)) if isinstance(o, Flow)]
+        if self.df.isStreaming:
+            fixed = {k: o for k, o in enumerate((self, *others)) if not isinstance(o, Flow)}
+            return self._next(lowering.zipped([(k, o.df, o.seq) for k, o in flows], fixed, column), "zip", *(o for _, o in flows[1:]), seq="seq", key=None, batch=None)
         sides = [ordered.position(o.df.select(o.seq, F.col(column).alias(f"_{k}")), o.seq, "pos").select("pos", f"_{k}") for k, o in flows]
         out = reduce(lambda a, b: a.join(b, "pos"), sides)
         made = {k: F.col(f"_{k}") for k, _ in flows} | {k: F.lit(o) for k, o in enumerate((self, *others)) if not isinstance(o, Flow)}
@@ -287,27 +313,35 @@ class Flow:
     def combine_latest(self, *others: Flow, emit_on: int | list[int] | None = None, column: str = "value") -> Flow:
         """Latest of each side at every element, or at those of the sides ``emit_on``, once all sides have one."""
         n = len(others) + 1
+        if emit_on is not None and not isinstance(emit_on, list):
+            emit_on = [emit_on]
+        if self.df.isStreaming:
+            sides = [(o.df, o.seq) for o in (self, *others)]
+            return self._next(lowering.latest(sides, steps.combine_latest(n, emit_on), column), "combine_latest", *others, seq="seq", key=None, batch=None)
         out = self._latest(self._tagged(others, column), n, "seq")
         out = out.where(reduce(lambda a, b: a & b, (F.col(f"_{k}").isNotNull() for k in range(n))))
         if emit_on is not None:
-            out = out.where(F.col("side").isin(emit_on if isinstance(emit_on, list) else [emit_on]))
+            out = out.where(F.col("side").isin(emit_on))
         return self._next(out.select("seq", *(F.col(f"_{k}.v").alias(f"_{k}") for k in range(n))), "combine_latest", *others, seq="seq", key=None, batch=None)
 
     def zip_latest(self, *others: Flow, column: str = "value") -> Flow:
         """Every element of this flow once, with the others' latest; early ones wait until all others have a value."""
         n = len(others) + 1
+        if self.df.isStreaming:
+            sides = [(o.df, o.seq) for o in (self, *others)]
+            return self._next(lowering.latest(sides, steps.zip_latest(n), column), "zip_latest", *others, seq="seq", key=None, batch=None)
         firsts = [o.df.agg(F.min(o.seq).alias("m")).first()["m"] for o in others]
         rows = self._tagged(others, column)
         if any(m is None for m in firsts):
-            rows, ready = rows.limit(0), 0
-        else:
-            ready = max(firsts)
-        rows = rows.withColumn("t", F.when(F.col("side") == 0, F.greatest("seq", F.lit(ready))).otherwise(F.col("seq")))
-        rows = rows.withColumn("side", F.when(F.col("side") == 0, n).otherwise(F.col("side")))  # others first at equal times
-        own = rows.where(F.col("side") == n).select("seq", "t", F.col("_0").alias("mine"))
-        at = self._latest(rows.where(F.col("side") != n).unionByName(rows.where(F.col("side") == n).dropDuplicates(["t"])), n, "t").where(F.col("side") == n)
-        out = own.join(at.select("t", *(f"_{k}" for k in range(1, n))), "t")
-        return self._next(out.select("seq", F.col("mine.v").alias("_0"), *(F.col(f"_{k}.v").alias(f"_{k}") for k in range(1, n))), "zip_latest", *others, seq="seq", key=None, batch=None)
+            return self._next(rows.limit(0).select("seq", *(F.col(f"_{k}.v").alias(f"_{k}") for k in range(n))), "zip_latest", *others, seq="seq", key=None, batch=None)
+        ready = max(firsts)
+        own, rest = F.col("side") == 0, F.col("side") > 0
+        later = self._latest(rows.where(rest | (F.col("seq") > ready)), n, "seq").where(own)
+        # Early elements all meet the values of one moment: a single row, broadcast, so that they are not one hot key.
+        then = rows.where(rest & (F.col("seq") <= ready)).groupBy(F.lit(1).alias("_at")).agg(*(F.max_by(f"_{k}", F.when(F.col("side") == k, F.col("seq"))).alias(f"_{k}") for k in range(1, n)))
+        early = rows.where(own & (F.col("seq") <= ready)).select("seq", "_0", F.lit(1).alias("_at")).join(F.broadcast(then), "_at")
+        out = later.select("seq", *(f"_{k}" for k in range(n))).unionByName(early.drop("_at"))
+        return self._next(out.select("seq", *(F.col(f"_{k}.v").alias(f"_{k}") for k in range(n))), "zip_latest", *others, seq="seq", key=None, batch=None)
 
     # Distinct, collect, latest
 
@@ -327,6 +361,11 @@ class Flow:
 
     def collect(self, flush: Column, column: str = "value") -> Flow:
         """Arrays of what came since the last flush; rows for which ``flush`` holds are the flushes and give no element."""
+        if self.df.isStreaming:
+            df = self.df.withColumn("_f", F.coalesce(flush, F.lit(False)))
+            kind = f"array<{dict(self.df.dtypes)[column]}>"
+            out = lowering.sequence(df, self.seq, steps.collect(), kind, lambda row: (row["_f"], row[column]), self.key)
+            return self._next(out.withColumnRenamed("result", "values"), "collect", seq="seq", batch=None)
         marked = self.df.withColumn("_f", F.coalesce(flush, F.lit(False)).cast("long"))
         epochs = ordered.running(marked, self.seq, _epoch=("sum", F.col("_f"))).withColumn("epoch", F.col("_epoch") - F.col("_f"))
         g = epochs.groupBy("epoch").agg(
@@ -356,7 +395,7 @@ class Flow:
         """Call fn(frame, id) for each micro-batch of a stream, or once."""
         if not self.df.isStreaming:
             return fn(self.df, 0)
-        return self.df.writeStream.options(**options).trigger(**getattr(self, "trigger", {"availableNow": True})).foreachBatch(fn).start()
+        return self.df.writeStream.options(**options).trigger(**(self.trigger or {"availableNow": True})).foreachBatch(fn).start()
 
     def sink_to_list(self, column: str = "value") -> list:
         return [r[0] for r in self.df.orderBy(self.seq).select(column).collect()]
@@ -365,7 +404,7 @@ class Flow:
         """Texts with the prefix before and ``end`` after each."""
         out = self.df.select(F.concat(F.lit(prefix), F.col(column).cast("string")).alias("value"))
         if self.df.isStreaming:
-            return out.writeStream.format("text").option("lineSep", end).options(**options).trigger(availableNow=True).start(path)
+            return out.writeStream.format("text").option("lineSep", end).options(**options).trigger(**(self.trigger or {"availableNow": True})).start(path)
         return out.write.mode(mode).option("lineSep", end).text(path)
 
     def current_value(self, column: str = "value") -> Any:

@@ -6,14 +6,18 @@ there) and per row. Nulls and NaN are skipped, null keys are dropped, var of a s
 
 from __future__ import annotations
 
-import re
+import ast
+import io
+import tokenize
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clean, floor_div, floor_mod, half_even, seconds, variance
+from ..functions.numeric import clean, divide, floor_div, floor_mod, half_even, seconds, variance
+from ..streaming import lowering
 from . import ordered
 
 #: Sums are exact to the cent and the same in any order where values are cast first.
@@ -81,7 +85,7 @@ _BINARY = {
     "add": lambda a, b: a + b,
     "sub": lambda a, b: a - b,
     "mul": lambda a, b: a * b,
-    "truediv": F.try_divide,
+    "truediv": divide,
     "floordiv": floor_div,
     "mod": floor_mod,
     "pow": F.pow,
@@ -155,8 +159,7 @@ class FlowFrame:
 
     def query(self, text: str) -> FlowFrame:
         """Rows for which a predicate in the dataframe library's notation holds."""
-        sql = re.sub(r"==", "=", text).replace("&", " and ").replace("|", " or ").replace("~", " not ")
-        return self._next(self.df.filter(re.sub(r"\[([^\]]*)\]", r"(\1)", sql)))
+        return self._next(self.df.filter(predicate(text)))
 
     def assign(self, **columns) -> FlowFrame:
         return self._next(self.df.withColumns({n: _value(v) for n, v in columns.items()}))
@@ -217,13 +220,30 @@ class FlowFrame:
             return now
         return now.unionByName(start).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in now.columns if c not in keys))
 
-    def reduce_per_batch(self, kind: str) -> DataFrame:
-        """(batch, columns) over all rows up to each batch's end; sum, count and mean, from batch totals."""
-        t = self.df.groupBy(self.batch).agg(*(x for c in self.columns for x in (F.sum(c).alias(f"{c}_s"), F.count(c).alias(f"{c}_n"))))
+    def reduce_per_batch(self, kind: str, ddof: int = 1) -> DataFrame:
+        """(batch, columns) over all rows up to each batch's end, from batch totals: any of ``AGGREGATES``. size has one
+        column, rows times columns."""
+        if kind not in AGGREGATES:
+            raise ValueError(f"one of {AGGREGATES}")
+        t = self.df.groupBy(self.batch).agg(F.count("*").alias("_rows"), *(x for c in self.columns for x in totals(c)))
         w = W.orderBy(self.batch).rowsBetween(W.unboundedPreceding, 0)  # a row a batch
-        s, n = (lambda c: F.coalesce(F.sum(f"{c}_s").over(w), F.lit(0))), (lambda c: F.sum(f"{c}_n").over(w))
-        made = {"sum": s, "count": n, "mean": lambda c: F.try_divide(s(c).cast("double"), n(c))}[kind]
-        return t.select(self.batch, *(made(c).alias(c) for c in self.columns))
+        if kind == "size":
+            return t.select(self.batch, (F.sum("_rows").over(w) * len(self.columns)).alias("size"))
+        return t.select(self.batch, *(merged(kind, c, lambda x: F.sum(x).over(w), ddof).alias(c) for c in self.columns))
+
+    def value_counts_per_batch(self, column: str | None = None) -> DataFrame:
+        """(batch, value, count): counts of every value seen so far at each batch's end."""
+        c = column or self.columns[0]
+        return self.groupby(c).agg_per_batch("size").withColumnRenamed("size", "count")
+
+    def aggregate(self, agg, schema: str, start=None) -> DataFrame:
+        """Results of a user aggregation after each batch, as rows of ``schema``.
+
+        ``agg`` has initial(rows) -> state and on_new(state, rows) -> (state, result), on pandas frames; a result is a
+        frame, or a value for a schema of one column. States follow one another, so batches are taken one by one, in one
+        task: ``Grouped.aggregate`` runs one sequence a key.
+        """
+        return self.groupby(F.lit(0)).aggregate(agg, schema, start)
 
     def groupby(self, *keys: str | Column | Series) -> Grouped:
         return Grouped(self, [k.col if isinstance(k, Series) else F.col(k) if isinstance(k, str) else k for k in keys], [k if isinstance(k, str) else k.name if isinstance(k, Series) else f"key{i}" for i, k in enumerate(keys)])
@@ -231,6 +251,8 @@ class FlowFrame:
     # Running and windowed
 
     def _running(self, kind: str) -> FlowFrame:
+        if self.df.isStreaming:
+            return FlowFrame(lowering.running(self.df, self.seq, {c: (kind, c) for c in self.columns}), "seq")
         made = {f"_{c}": (kind, F.col(c)) for c in self.columns}
         out = ordered.running(self.df, self.seq, **made)
         return self._next(out.select(*self._kept(), *(F.when(F.col(c).isNotNull(), F.col(f"_{c}")).alias(c) for c in self.columns)))
@@ -248,13 +270,78 @@ class FlowFrame:
             n, value = None, n
         return BatchWindow(self, n, value, ts or self.index_col)
 
-    def expanding(self) -> FlowFrame:
-        return self
+    def expanding(self) -> Expanding:
+        return Expanding(self)
 
     def ewm(self, com: float | None = None, span: float | None = None, halflife: float | None = None, alpha: float | None = None) -> Ewm:
         return Ewm(self, weight(com, span, halflife, alpha))
 
 
+def totals(c: str) -> list[Column]:
+    """Partial sums of a column: number, sum and sum of squares (in double, exact sums stay exact)."""
+    x = F.col(c)
+    return [F.count(x).alias(f"{c}_n"), F.sum(x).alias(f"{c}_s"), F.sum(x.cast("double") * x.cast("double")).alias(f"{c}_q")]
+
+
+def merged(kind: str, c: str, add, ddof: int = 1) -> Column:
+    """An aggregate from partial sums, which ``add`` adds up."""
+    n, s, q = (add(F.col(f"{c}_{x}")) for x in "nsq")
+    n, s = F.coalesce(n, F.lit(0)), F.coalesce(s, F.lit(0))
+    if kind in ("var", "std"):
+        v = F.greatest(variance(n, s.cast("double"), F.coalesce(q, F.lit(0.0)), ddof), F.lit(0.0))
+        return F.sqrt(v) if kind == "std" else v
+    return {"sum": s, "count": n, "mean": F.try_divide(s.cast("double"), n)}[kind]
+
+
+def predicate(text: str) -> Column:
+    """A predicate in the dataframe library's notation: comparisons (chained too), ``in`` with lists, arithmetic, and, or,
+    not, with ``&``, ``|`` and ``~`` for these. Literals are taken as they are."""
+    words = {"&": "and", "|": "or", "~": "not"}
+    made = [(tokenize.NAME, words[x.string]) if x.type == tokenize.OP and x.string in words else (x.type, x.string) for x in tokenize.generate_tokens(io.StringIO(text.strip()).readline)]
+    return _column(ast.parse(tokenize.untokenize(made).strip(), mode="eval").body)
+
+
+_COMPARE = {ast.Eq: "eq", ast.NotEq: "ne", ast.Lt: "lt", ast.LtE: "le", ast.Gt: "gt", ast.GtE: "ge"}
+_ARITHMETIC = {ast.Add: "add", ast.Sub: "sub", ast.Mult: "mul", ast.Div: "truediv", ast.FloorDiv: "floordiv", ast.Mod: "mod", ast.Pow: "pow"}
+
+
+def _column(e: ast.expr) -> Column:
+    if isinstance(e, ast.Name):
+        return F.col(f"`{e.id}`")
+    if isinstance(e, ast.Constant):
+        return F.lit(e.value)
+    if isinstance(e, ast.BoolOp):
+        return reduce(lambda a, b: a & b if isinstance(e.op, ast.And) else a | b, map(_column, e.values))
+    if isinstance(e, ast.UnaryOp):
+        x = _column(e.operand)
+        return ~x if isinstance(e.op, ast.Not) else -x if isinstance(e.op, ast.USub) else x
+    if isinstance(e, ast.BinOp) and type(e.op) in _ARITHMETIC:
+        return _BINARY[_ARITHMETIC[type(e.op)]](_column(e.left), _column(e.right))
+    if isinstance(e, ast.Compare):
+        out, left = [], e.left
+        for op, right in zip(e.ops, e.comparators, strict=True):
+            if isinstance(op, (ast.In, ast.NotIn)) or isinstance(right, (ast.List, ast.Tuple)):
+                some = _column(left).isin(*map(ast.literal_eval, right.elts))
+                out.append(~some if isinstance(op, (ast.NotIn, ast.NotEq)) else some)
+            else:
+                out.append(_BINARY[_COMPARE[type(op)]](_column(left), _column(right)))
+            left = right
+        return reduce(lambda a, b: a & b, out)
+    raise ValueError(f"not understood: {ast.unparse(e)}")
+
+
+@dataclass
+class Expanding:
+    """All rows so far: any aggregate, per row of the result a batch, or final."""
+
+    frame: FlowFrame
+
+    def __getattr__(self, name: str):
+        if name in AGGREGATES:
+            return lambda ddof=1: self.frame.reduce(name, ddof)
+        return getattr(self.frame, name)
+
+
 def weight(com: float | None = None, span: float | None = None, halflife: float | None = None, alpha: float | None = None) -> float:
     """Alpha from exactly one of the four."""
     given = [x for x in (com, span, halflife, alpha) if x is not None]
@@ -283,15 +370,48 @@ class Ewm:
     alpha: float
 
     def mean(self, key: str | None = None) -> DataFrame:
-        """Final mean of each column (by key): a fold over the key's values in order, in the JVM."""
-        f, keep = self.frame, 1 - self.alpha
-        out = []
-        for c in [c for c in f.columns if c != key]:
-            xs = F.array_sort(F.collect_list(F.struct(F.col(f.seq).alias("s"), F.col(c).cast("double").alias("x"))))
-            start = F.struct(F.lit(0.0).alias("r"), F.lit(0.0).alias("w"))
-            step = lambda a, e: F.struct((a["r"] * keep + e["x"]).alias("r"), (a["w"] * keep + 1).alias("w"))
-            out.append(F.aggregate(xs, start, step, lambda a: F.try_divide(a["r"], a["w"])).alias(c))
-        return f.df.groupBy(*([key] if key else [])).agg(*out)
+        """Final mean of each column (by key); nulls are skipped, without a step in weight.
+
+        Each range of the order is folded on its own, in the JVM, to (sum, weight, number); a key's ranges, in order,
+        then give its mean. So no row holds more than a range's values."""
+        f, keep = self.frame, F.lit(1 - self.alpha)
+        by, columns = [key] if key else [], [c for c in f.columns if c != key]
+        zero = F.struct(F.lit(0.0).alias("r"), F.lit(0.0).alias("w"), F.lit(0).cast("long").alias("n"))
+        parts, out = [], []
+        for c in columns:
+            xs = F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.col(f.seq).alias("s"), F.col(c).cast("double").alias("x")))))
+            parts.append(F.aggregate(xs, zero, lambda a, e: F.struct((a["r"] * keep + e["x"]).alias("r"), (a["w"] * keep + 1).alias("w"), (a["n"] + 1).alias("n"))).alias(c))
+            ends = F.array_sort(F.collect_list(F.struct("_range", F.col(c).alias("x"))))
+            late = lambda a, e: F.pow(keep, e["x"]["n"])
+            step = lambda a, e: F.struct((a["r"] * late(a, e) + e["x"]["r"]).alias("r"), (a["w"] * late(a, e) + e["x"]["w"]).alias("w"), (a["n"] + e["x"]["n"]).alias("n"))
+            out.append(F.aggregate(ends, zero, step, lambda a: F.try_divide(a["r"], a["w"])).alias(c))
+        return ordered.ranges(f.df, f.seq).groupBy(*by, "_range").agg(*parts).groupBy(*by).agg(*out)
+
+    def mean_per_batch(self) -> DataFrame:
+        """(batch, columns): the mean so far at each batch's end. Batches are folded on their own; the carry is a fold over
+        a row a batch."""
+        f, keep = self.frame, F.lit(1 - self.alpha)
+        zero = F.struct(F.lit(0.0).alias("r"), F.lit(0.0).alias("w"), F.lit(0).cast("long").alias("n"))
+        parts = []
+        for c in f.columns:
+            xs = F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.col(f.seq).alias("s"), F.col(c).cast("double").alias("x")))))
+            parts.append(F.aggregate(xs, zero, lambda a, e: F.struct((a["r"] * keep + e["x"]).alias("r"), (a["w"] * keep + 1).alias("w"), (a["n"] + 1).alias("n"))).alias(c))
+        t = f.df.groupBy(f.batch).agg(*parts)  # a row a batch
+        names, batch, left = f.columns, f.batch, 1 - self.alpha
+
+        def carry(x):
+            x = x.sort_values(batch)
+            out = {batch: x[batch]}
+            for c in names:
+                r = w = 0.0
+                got = []
+                for e in x[c]:
+                    r, w = r * left ** e["n"] + e["r"], w * left ** e["n"] + e["w"]
+                    got.append(r / w if w else None)
+                out[c] = got
+            return type(x)(out)
+
+        return t.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(lambda x: carry(x), f"{batch} {dict(f.df.dtypes)[batch]}, " + ", ".join(f"`{c}` double" for c in names))
 
 
 @dataclass
@@ -322,15 +442,43 @@ class Grouped:
         made = [aggregate(kind, F.col(c), ddof).alias(c) for c in self._columns()] if kind != "size" else [F.count("*").alias("size")]
         return self._rows().groupBy(*(F.col(f"_k{i}").alias(n) for i, n in enumerate(self.names))).agg(*made)
 
-    def sum_per_batch(self) -> DataFrame:
-        """(batch, keys, columns): sums of every key seen so far at each batch's end."""
-        f, cols, ks = self.frame, self._columns(), [f"_k{i}" for i in range(len(self.keys))]
-        t = self._rows().groupBy(f.batch, *ks).agg(*(F.sum(c).alias(c) for c in cols))
-        seen = t.groupBy(*ks).agg(F.min(f.batch).alias("_first"))
-        grid = f.df.select(f.batch).distinct().join(F.broadcast(seen), F.col(f.batch) >= F.col("_first"))  # batches by keys: the result's size
+    def agg_per_batch(self, kind: str, ddof: int = 1) -> DataFrame:
+        """(batch, keys, columns): an aggregate of every key seen so far at each batch's end; whole-number batches.
+
+        A key has a row from its first batch to the last one, which is the result's size; the grid is made from each
+        key's bounds, without a join of keys with batches."""
+        f, ks = self.frame, [f"_k{i}" for i in range(len(self.keys))]
+        cols = [] if kind == "size" else self._columns()
+        t = self._rows().groupBy(f.batch, *ks).agg(F.count("*").alias("_rows"), *(x for c in cols for x in totals(c)))
+        last = f.df.agg(F.max(f.batch)).first()[0]
+        made = t.groupBy(*ks).agg(F.min(f.batch).alias("_first")).withColumn(f.batch, F.explode(F.sequence(F.col("_first"), F.lit(last).cast(dict(f.df.dtypes)[f.batch])))).drop("_first")
+        grid = made.join(f.df.select(f.batch).distinct(), f.batch, "left_semi")
         w = W.partitionBy(*ks).orderBy(f.batch).rowsBetween(W.unboundedPreceding, 0)
         full = grid.join(t, [f.batch, *ks], "left")
-        return full.select(f.batch, *(F.col(k).alias(n) for k, n in zip(ks, self.names, strict=True)), *(F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c) for c in cols))
+        out = [F.sum("_rows").over(w).alias("size")] if kind == "size" else [merged(kind, c, lambda x: F.sum(x).over(w), ddof).alias(c) for c in cols]
+        return full.select(f.batch, *(F.col(k).alias(n) for k, n in zip(ks, self.names, strict=True)), *out)
+
+    def sum_per_batch(self) -> DataFrame:
+        return self.agg_per_batch("sum")
+
+    def aggregate(self, agg, schema: str, start=None) -> DataFrame:
+        """As ``FlowFrame.aggregate``, a sequence of states a key; ``schema`` starts with the batch (and with the keys, if
+        named), which the result's rows are given."""
+        f, ks = self.frame, [f"_k{i}" for i in range(len(self.keys))]
+        batch, seq, names, cols = f.batch, f.seq, list(self.names), self._columns()
+        fields = [x.name for x in self.frame.df.sparkSession.createDataFrame([], schema).schema]
+
+        def run(frame):
+            state, out = start, []
+            for b, rows in frame.sort_values([batch, seq]).groupby(batch, sort=True):
+                some = rows[cols].reset_index(drop=True)
+                state = agg.initial(some.iloc[:0]) if state is None else state
+                state, result = agg.on_new(state, some)
+                got = result if hasattr(result, "columns") else type(frame)({next(c for c in fields if c != batch and c not in names): [result]})
+                out.append(got.assign(**{batch: b}, **{n: rows[k].iloc[0] for k, n in zip(ks, names, strict=True) if n in fields}))
+            return type(frame)({c: [v for x in out for v in x[c]] for c in fields})
+
+        return self._rows().groupBy(*ks).applyInPandas(lambda x: run(x), schema)
 
 
 @dataclass
@@ -344,6 +492,11 @@ class Rolling:
 
     def agg(self, kind: str, q: float = 0.5) -> FlowFrame:
         f = self.frame
+        if f.df.isStreaming:
+            cols = [c for c in f.columns if c != self.ts]
+            least = self.min_periods if self.min_periods is not None else self.window if isinstance(self.window, int) else 1
+            of = {"n": self.window} if isinstance(self.window, int) else {"ts": self.ts, "width": seconds(self.window)}
+            return FlowFrame(lowering.rolling(f.df, f.seq, cols, plain(kind, q), "bigint" if kind == "count" else "double", least=least, **of), "seq")
         if isinstance(self.window, int):
             rows, own, block = ordered.halo(ordered.position(f.df, f.seq, "_pos"), "_pos", self.window)
             w = W.partitionBy(block).orderBy("_pos").rowsBetween(1 - self.window, 0)
@@ -372,6 +525,29 @@ class Rolling:
         raise AttributeError(name)
 
 
+def plain(kind: str, q: float = 0.5):
+    """A window's aggregate on a list of numbers."""
+    import statistics
+
+    def quantile(x: list) -> float:
+        x = sorted(map(float, x))
+        at = q * (len(x) - 1)
+        k = int(at)
+        return x[k] + (x[min(k + 1, len(x) - 1)] - x[k]) * (at - k)
+
+    return {
+        "sum": lambda x: float(sum(x)),
+        "mean": lambda x: float(sum(x) / len(x)),
+        "min": lambda x: float(min(x)),
+        "max": lambda x: float(max(x)),
+        "count": len,
+        "median": lambda x: float(statistics.median(x)),
+        "var": lambda x: float(statistics.variance(x)) if len(x) > 1 else None,
+        "std": lambda x: float(statistics.stdev(x)) if len(x) > 1 else None,
+        "quantile": quantile,
+    }[kind]
+
+
 @dataclass
 class BatchWindow:
     """Windows at each batch's end: the last n rows, or the last T of time, over all rows."""

@@ -17,18 +17,23 @@ def ranges(df: DataFrame, seq: str, parts: int | None = None) -> DataFrame:
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = []
     if parts > 1:
-        cuts = df.select(F.percentile_approx(seq, [k / parts for k in range(1, parts)], 100 * parts).alias("x")).first()["x"] or []
+        cuts = df.select(F.percentile_approx(seq, [k / parts for k in range(1, parts)], max(10_000, 10 * parts)).alias("x")).first()["x"] or []
     cuts = sorted(set(cuts))
     if not cuts:
         return df.withColumn("_range", F.lit(0))
-    bounds = F.array(*(F.lit(c) for c in cuts))
-    return df.withColumn("_range", F.size(F.filter(bounds, lambda b: b <= F.col(seq))))
+    # Two levels, so that a row is compared with about twice the square root of the bounds.
+    m = int(len(cuts) ** 0.5) + 1
+    groups = [cuts[i : i + m] for i in range(0, len(cuts), m)]
+    below = lambda bounds: F.size(F.filter(bounds, lambda b: b <= F.col(seq)))
+    k = below(F.array(*(F.lit(g[0]) for g in groups)))
+    inner = F.array(*(F.array(*map(F.lit, g)) for g in groups))
+    return df.withColumn("_range", F.when(k == 0, 0).otherwise((k - 1) * m + below(F.element_at(inner, F.greatest(k, F.lit(1))))))
 
 
 def position(df: DataFrame, seq: str, name: str = "pos", key: str | None = None) -> DataFrame:
     """``df`` with the 0-based place of each row in the order of ``seq``; of each ``key``'s rows, if one is given."""
     if key:
-        return df.withColumn(name, (F.row_number().over(W.partitionBy(key).orderBy(seq)) - 1).cast("long"))
+        return running(df, seq, key, **{name: ("count", F.lit(1))}).withColumn(name, (F.col(name) - 1).cast("long"))
     dealt = ranges(df, seq)
     totals = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
     before = totals.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))  # a row a range
@@ -45,15 +50,28 @@ _FOLD = {
 }
 
 
-def running(df: DataFrame, seq: str, **columns: tuple[str, Column | str]) -> DataFrame:
-    """``df`` with running aggregates: name=(kind, column), kind of sum, count, min, max, product; nulls are skipped."""
+def running(df: DataFrame, seq: str, key: str | None = None, **columns: tuple[str, Column | str]) -> DataFrame:
+    """``df`` with running aggregates (of each ``key``'s rows, if one is given): name=(kind, column), kind of sum, count,
+    min, max, product; nulls are skipped.
+
+    A frequent key's rows are spread over the ranges too. Totals carried in are a row a range, which is broadcast, or a
+    row a range and key, which is joined.
+    """
     dealt = ranges(df, seq)
-    w = W.partitionBy("_range").orderBy(seq).rowsBetween(W.unboundedPreceding, 0)
-    totals = dealt.groupBy("_range").agg(*(_FOLD[k][0](c).alias(f"_t_{n}") for n, (k, c) in columns.items()))
-    over = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    by = ["_range"]
+    if key:  # a null key is a key of its own
+        by, dealt = ["_range", "_key", "_none"], dealt.withColumn("_key", F.col(key)).withColumn("_none", F.col(key).isNull())
+    w = W.partitionBy(*by).orderBy(seq).rowsBetween(W.unboundedPreceding, 0)
+    totals = dealt.groupBy(*by).agg(*(_FOLD[k][0](c).alias(f"_t_{n}") for n, (k, c) in columns.items()))
+    over = W.partitionBy(*by[1:]).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     outer = {"count": F.sum}
-    carried = totals.select("_range", *(outer.get(k, _FOLD[k][0])(f"_t_{n}").over(over).alias(f"_c_{n}") for n, (k, _) in columns.items()))
-    out = dealt.select("*", *(_FOLD[k][0](c).over(w).alias(f"_l_{n}") for n, (k, c) in columns.items())).join(F.broadcast(carried), "_range")
+    carried = totals.select(*by, *(outer.get(k, _FOLD[k][0])(f"_t_{n}").over(over).alias(f"_c_{n}") for n, (k, _) in columns.items()))
+    local = dealt.select("*", *(_FOLD[k][0](c).over(w).alias(f"_l_{n}") for n, (k, c) in columns.items()))
+    if key:
+        there = carried.select(F.col("_range").alias("_r"), F.col("_key").alias("_k"), *(f"_c_{n}" for n in columns))
+        out = local.join(there, (F.col("_range") == F.col("_r")) & F.col("_key").eqNullSafe(F.col("_k"))).drop("_r", "_k", "_key", "_none")
+    else:
+        out = local.join(F.broadcast(carried), "_range")  # a row a range
     out = out.withColumns({n: _FOLD[k][1](F.col(f"_l_{n}"), F.col(f"_c_{n}")) for n, (k, _) in columns.items()})
     return out.drop("_range", *(f"_{x}_{n}" for n in columns for x in "lc"))
 

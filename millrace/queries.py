@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .operators import steps
 from .operators.flow import Flow
 from .operators.frame import FlowFrame, Series
+from .streaming.sinks import drained
 
 BATCH = 97  # events a batch
 
@@ -50,7 +51,7 @@ def dbl(c: str | Column, digits: int = 7) -> Column:
     return F.round((F.col(c) if isinstance(c, str) else c).cast("double"), digits)
 
 
-def texts(c: str) -> Column:
+def texts(c: str | Column) -> Column:
     return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
 
 
@@ -85,9 +86,7 @@ def flow_remove(s, d):
 
 @query("select event_id, sum(v) over (order by event_id)::double as total, max(v) over (order by event_id)::double as top, min(v) over (order by event_id)::double as low, count(*) over (order by event_id) as n from " + E)
 def flow_accumulate(s, d):
-    f = events(s, d)
-    for name, kind in (("total", "sum"), ("top", "max"), ("low", "min"), ("n", "count")):
-        f = f.accumulate(kind, "value", name=name)
+    f = events(s, d).running(total=("sum", "value"), top=("max", "value"), low=("min", "value"), n=("count", "value"))
     return f.df.select("event_id", *(F.col(c).cast("double").alias(c) for c in ("total", "top", "low")), "n")
 
 
@@ -113,9 +112,9 @@ def flow_slice(s, d):
 
 @query("select i // 5 as part, sum(v)::double as total, string_agg(event_id::varchar, ',' order by event_id) as members from (select *, row_number() over (order by event_id) - 1 as i from " + E + ") group by 1 having count(*) = 5")
 def flow_partition(s, d):
-    ids = events(s, d).partition(5, "event_id").df.select("part", texts("values").alias("members"))
-    sums = events(s, d).partition(5).df.select("part", F.aggregate("values", F.lit(0).cast("decimal(28,2)"), lambda a, x: (a + x).cast("decimal(28,2)")).cast("double").alias("total"))
-    return sums.join(ids, "part")
+    f = events(s, d).map(pair=F.struct("event_id", "value")).partition(5, "pair")
+    total = F.aggregate("values", F.lit(0).cast("decimal(28,2)"), lambda a, x: (a + x["value"]).cast("decimal(28,2)")).cast("double")
+    return f.df.select("part", texts(F.transform("values", lambda x: x["event_id"])).alias("members"), total.alias("total"))
 
 
 @query("select user_id, i // 4 as part, string_agg(event_id::varchar, ',' order by event_id) as members from (select *, row_number() over (partition by user_id order by event_id) - 1 as i from events) group by 1, 2 having count(*) = 4")
@@ -125,14 +124,23 @@ def flow_partition_keyed(s, d):
     return f.partition(4, "event_id").df.select("user_id", "part", texts("values").alias("members"))
 
 
-@query()
+def _partition_unique(new: str) -> str:
+    return (
+        "with recursive e as (select user_id, event_id, event_type, row_number() over (partition by user_id order by event_id) as i from events), "
+        "f(user_id, i, seq, buf) as (select user_id, i, event_id, [event_type] from e where i = 1 union all "
+        f"select e.user_id, e.i, e.event_id, {new} from (select user_id, i, case when len(buf) = 3 then [] else buf end as buf from f) f join e on e.user_id = f.user_id and e.i = f.i + 1) "
+        "select user_id, seq, array_to_string(buf, ',') as members from f where len(buf) = 3 and (i = 1 or not exists (select 1 from f p where p.user_id = f.user_id and p.i = f.i - 1 and p.buf = f.buf))"
+    )
+
+
+@query(_partition_unique("case when list_contains(f.buf, e.event_type) then f.buf else list_append(f.buf, e.event_type) end"))
 def flow_partition_unique_first(s, d):
     f = events(s, d)
     f.key = "user_id"
     return f.partition_unique(3, "event_type", "first", "string").df.select("user_id", "seq", texts("result").alias("members"))
 
 
-@query()
+@query(_partition_unique("list_append(list_filter(f.buf, lambda x: x <> e.event_type), e.event_type)"))
 def flow_partition_unique_last(s, d):
     f = events(s, d)
     f.key = "user_id"
@@ -414,6 +422,51 @@ def groupby_sum_per_batch(s, d):
     return frame(s, d, "event_type", "value").groupby("event_type").value.sum_per_batch().select("batch_id", "event_type", F.col("value").cast("double").alias("value"))
 
 
+for _kind, _sql in (("var", "var_samp"), ("std", "stddev_samp"), ("count", "count"), ("size", "count")):
+    _out = f"{_sql}(v) over (order by b)" if _sql == "count" else f"round({_sql}(v::double) over (order by b), 3)"
+    _name = "size" if _kind == "size" else "value"
+    if _kind != "count":
+        QUERIES[f"reduce_{_kind}_per_batch"] = Query(
+            lambda s, d, k=_kind: frame(s, d).reduce_per_batch(k) if k == "size" else frame(s, d).reduce_per_batch(k).withColumn("value", dbl("value", 3)),
+            f"select distinct b as batch_id, {_out} as {_name} from {E}",
+        )
+
+_GRID = f"with k as (select event_type, min(b) as f from {E} where event_type is not null group by 1), g as (select distinct x.b, k.event_type from {E} x join k on x.b >= k.f)"
+for _kind, _sql in (("mean", "round(avg(e.v)::double, 3)"), ("count", "count(e.v)"), ("size", "count(*)"), ("var", "round(var_samp(e.v::double), 3)"), ("std", "round(stddev_samp(e.v::double), 3)")):
+    _name = "size" if _kind == "size" else "value"
+    QUERIES[f"groupby_{_kind}_per_batch"] = Query(
+        lambda s, d, k=_kind: (lambda x: x if k in ("count", "size") else x.withColumn("value", dbl("value", 3)))(frame(s, d, "event_type", "value").groupby("event_type").value.agg_per_batch(k)),
+        f"{_GRID} select g.b as batch_id, g.event_type, {_sql} as {_name} from g join {E} e on e.event_type = g.event_type and e.b <= g.b group by 1, 2",
+    )
+
+
+@query(_GRID + f" select g.b as batch_id, g.event_type, count(*) as count from g join {E} e on e.event_type = g.event_type and e.b <= g.b group by 1, 2")
+def value_counts_per_batch(s, d):
+    return frame(s, d, "event_type").value_counts_per_batch("event_type")
+
+
+class Spread:
+    """A user's aggregation: the range of the values so far."""
+
+    def initial(self, rows):
+        return None
+
+    def on_new(self, state, rows):
+        low, high = float(rows.value.astype(float).min()), float(rows.value.astype(float).max())
+        state = (min(state[0], low), max(state[1], high)) if state else (low, high)
+        return state, round(state[1] - state[0], 7)
+
+
+@query("select distinct event_type, b as batch_id, round((max(v) over w - min(v) over w)::double, 7) as spread from " + E + " window w as (partition by event_type order by b)")
+def aggregate_user(s, d):
+    return frame(s, d, "event_type", "value").groupby("event_type").value.aggregate(Spread(), "batch_id long, event_type string, spread double")
+
+
+@query("with recursive e as (select b, v::double as x, row_number() over (order by event_id) as i from " + E + "), f(i, r, w) as (select i, x, 1.0::double from e where i = 1 union all select e.i, f.r * 0.5 + e.x, f.w * 0.5 + 1 from f join e on e.i = f.i + 1) select b as batch_id, round(arg_max(r / w, i), 7) as value from f join e using (i) group by 1")
+def ewm_mean_per_batch(s, d):
+    return frame(s, d).ewm(com=1).mean_per_batch().withColumn("value", F.round("value", 7))
+
+
 def _window_sql(cols: str, by: str = "", n: int = 40) -> str:
     return f"with h as (select b, max(event_id) as hi from {E} group by 1) select h.b as batch_id, {cols} from h join {E} e on e.event_id <= h.hi and e.event_id > h.hi - {n} group by 1{by}"
 
@@ -507,15 +560,6 @@ def stream_of(s, d) -> DataFrame:
     return s.readStream.schema(table(s, d, "events").schema).parquet(f"{d}/events.parquet*")
 
 
-def drained(df: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what is there and return its result."""
-    import uuid
-
-    name = f"t{uuid.uuid4().hex}"
-    df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return df.sparkSession.table(name)
-
-
 @query("select event_type, count(*) as n, sum(v)::double as total from " + E + " where v > 10 group by 1")
 def stream_groupby(s, d):
     df = stream_of(s, d).where("value > 10").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"))
@@ -527,19 +571,108 @@ def stream_unique(s, d):
     return drained(Flow(stream_of(s, d).select("user_id", F.lit(True).alias("seen")), "user_id").unique("user_id").df, "append")
 
 
-def stateful(s: SparkSession) -> None:
-    s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-
-
 @query("select event_type, event_id as seq, sum(user_id) over (partition by event_type order by event_id)::bigint as result from events")
 def stream_accumulate(s, d):
-    stateful(s)
     f = Flow(stream_of(s, d).select("event_id", "event_type", "user_id"), "event_id", key="event_type")
     return drained(f.steps(steps.accumulate(lambda a, x: a + x, 0), "user_id", "bigint").df.select("event_type", "seq", "result"), "append")
 
 
 @query("select user_id, seq, members from (select user_id, max(event_id) as seq, string_agg(event_id::varchar, ',' order by event_id) as members from (select *, row_number() over (partition by user_id order by event_id) - 1 as i from events) group by user_id, i // 4 having count(*) = 4)")
 def stream_partition(s, d):
-    stateful(s)
     f = Flow(stream_of(s, d).select("event_id", "user_id"), "event_id", key="user_id")
     return drained(f.steps(steps.partition(4), "event_id", "array<bigint>").df.select("user_id", "seq", texts("result").alias("members")), "append")
+
+
+def stream(s, d, *columns: str, key: str | None = None) -> Flow:
+    """The events as a stream, with exact values."""
+    df = stream_of(s, d).withColumn("value", F.col("value").cast("decimal(18,2)"))
+    return Flow(df.select(*dict.fromkeys(("event_id", *columns))), "event_id", key=key)
+
+
+def stream_sides(s, d) -> list[Flow]:
+    return [Flow(stream_of(s, d).where(f"event_type = '{t}'").select("event_id", F.col("event_id").alias("value")), "event_id") for t in ("click", "purchase", "view")]
+
+
+@query(QUERIES["flow_sliding_window"].sql)
+def stream_sliding_window(s, d):
+    return drained(stream(s, d).sliding_window(4, "event_id").df.select(F.col("seq").alias("event_id"), texts("values").alias("members")))
+
+
+@query("select max(event_id) as event_id, string_agg(event_id::varchar, ',' order by event_id) as members from (select *, row_number() over (order by event_id) - 1 as i from events) group by i // 5 having count(*) = 5")
+def stream_partition_whole(s, d):
+    return drained(stream(s, d).partition(5, "event_id").df.select(F.col("seq").alias("event_id"), texts("values").alias("members")))
+
+
+@query(QUERIES["flow_slice"].sql)
+def stream_slice(s, d):
+    return drained(stream(s, d).slice(10, 500, 7).df)
+
+
+@query("select _0, _1, _2 from (" + QUERIES["flow_zip"].sql + ")")
+def stream_zip(s, d):
+    a, b, _ = stream_sides(s, d)
+    return drained(a.zip(7, b).df.drop("seq"))
+
+
+@query(QUERIES["flow_combine_latest"].sql)
+def stream_combine_latest(s, d):
+    a, b, _ = stream_sides(s, d)
+    return drained(a.combine_latest(b).df)
+
+
+@query(QUERIES["flow_combine_latest_emit_on"].sql)
+def stream_combine_latest_emit_on(s, d):
+    a, b, _ = stream_sides(s, d)
+    return drained(a.combine_latest(b, emit_on=0).df)
+
+
+@query(QUERIES["flow_zip_latest"].sql)
+def stream_zip_latest(s, d):
+    a, b, c = stream_sides(s, d)
+    return drained(a.zip_latest(b, c).df)
+
+
+@query("select event_id, members from (" + QUERIES["flow_collect"].sql + ")")
+def stream_collect(s, d):
+    f = stream(s, d, "event_type").collect(F.col("event_type") == "purchase", "event_id")
+    return drained(f.df.select(F.col("seq").alias("event_id"), texts("values").alias("members")))
+
+
+@query(QUERIES["flow_accumulate"].sql)
+def stream_accumulate_whole(s, d):
+    f = stream(s, d, "value").running(total=("sum", "value"), top=("max", "value"), low=("min", "value"), n=("count", "value"))
+    return drained(f.df.select(F.col("seq").alias("event_id"), *(F.col(c).cast("double").alias(c) for c in ("total", "top", "low")), "n"))
+
+
+@query(QUERIES["flow_frequencies_running"].sql)
+def stream_frequencies_running(s, d):
+    return drained(stream(s, d, "event_type").frequencies("event_type", running=True).df.select(F.col("seq").alias("event_id"), "count"))
+
+
+@query("select user_id, seq, members from (" + QUERIES["flow_partition_unique_first"].sql + ")")
+def stream_partition_unique(s, d):
+    f = stream(s, d, "user_id", "event_type", key="user_id").partition_unique(3, "event_type", "first", "string")
+    return drained(f.df.select("user_id", "seq", texts("result").alias("members")))
+
+
+@query(QUERIES["flow_unique_lru"].sql)
+def stream_unique_lru(s, d):
+    return drained(stream(s, d, "user_id", "event_type", key="user_id").unique("event_type", 2).df.select(F.col("seq").alias("event_id")))
+
+
+for _kind in ("cumsum", "cummin", "cummax"):
+    QUERIES[f"stream_{_kind}"] = Query(
+        lambda s, d, k=_kind: drained(getattr(FlowFrame(stream(s, d, "value").df, "event_id"), k)().df.select(F.col("seq").alias("event_id"), dbl("value").alias("value"))),
+        QUERIES[_kind].sql,
+    )
+for _kind in ("sum", "mean", "var", "median", "count"):
+    QUERIES[f"stream_rolling_n_{_kind}"] = Query(
+        lambda s, d, k=_kind: drained((lambda x: x.select(F.col("seq").alias("event_id"), "value" if k == "count" else dbl("value").alias("value")))(FlowFrame(stream(s, d, "value").df, "event_id").rolling(7).agg(k).df)),
+        QUERIES[f"rolling_n_{_kind}"].sql,
+    )
+
+
+@query(QUERIES["rolling_t_mean"].sql)
+def stream_rolling_t_mean(s, d):
+    f = FlowFrame(stream(s, d, "ts", "value").df, "event_id").rolling("2h", ts="ts").mean()
+    return drained(f.df.select(F.col("seq").alias("event_id"), dbl("value").alias("value")))

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import glob
 import http.server
+import itertools
 import json
+import math
 import os
 import queue
 import random
@@ -236,16 +238,28 @@ def periodic_frame(spool: Spool, datafn: Callable, interval: str = "500ms", **op
 
 
 def random_datablock(last: float, now: float, freq: str = "100ms", rng: random.Random | None = None) -> list[dict]:
-    """x uniform, y a count, z normal, one row each ``freq``."""
+    """x uniform, y Poisson of mean 1, z normal, one row each ``freq``."""
     rng, step = rng or random.Random(), seconds(freq)
     n = int((now - last) / step)
-    return [{"ts": last + k * step, "x": rng.random(), "y": sum(rng.random() < 0.02 for _ in range(50)), "z": rng.gauss(0, 1)} for k in range(1, n + 1)]
+    return [random_datapoint(last + k * step, rng) for k in range(1, n + 1)]
+
+
+#: Distribution function of the Poisson variable of mean 1.
+POISSON = tuple(itertools.accumulate(math.exp(-1) / math.factorial(k) for k in range(18)))
+
+
+def random_datapoint(now: float, rng: random.Random | None = None) -> dict:
+    rng = rng or random.Random()
+    u = rng.random()
+    return {"ts": now, "x": rng.random(), "y": sum(u > p for p in POISSON), "z": rng.gauss(0, 1)}
 
 
 def random_stream(spark: SparkSession, rows_per_second: int = 10, seed: int = 0) -> DataFrame:
     """The same columns from the rate source, made on the executors."""
+    u = F.rand(seed + 1)
+    y = F.aggregate(F.array(*map(F.lit, POISSON)), F.struct(u.alias("u"), F.lit(0).alias("n")), lambda a, p: F.struct(a["u"].alias("u"), (a["n"] + (a["u"] > p).cast("int")).alias("n")), lambda a: a["n"])
     df = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
-    return df.select(F.col("value").alias("seq"), F.col("timestamp").alias("ts"), F.rand(seed).alias("x"), F.floor(-F.log(1 - F.rand(seed + 1))).alias("y"), F.randn(seed + 2).alias("z"))
+    return df.select(F.col("value").alias("seq"), F.col("timestamp").alias("ts"), F.rand(seed).alias("x"), y.alias("y"), F.randn(seed + 2).alias("z"))
 
 
 def kafka_options(topics: str | list[str], consumer: dict[str, str], max_batch_size: int | None = 10_000, start: str | None = None, npartitions: int | None = None) -> dict[str, str]:
@@ -267,4 +281,5 @@ def kafka_options(topics: str | list[str], consumer: dict[str, str], max_batch_s
 def from_kafka(spark: SparkSession, topics, consumer: dict[str, str], keys: bool = False, **options) -> Flow:
     """A stream of message values (and keys); null and empty values are left out. Needs Spark's Kafka connector."""
     df = spark.readStream.format("kafka").options(**kafka_options(topics, consumer, **options)).load().where("length(value) > 0")
-    return Flow(df.select(F.struct("partition", "offset").alias("seq"), *(["key"] if keys else []), "value"), "seq", name="from_kafka")
+    # A number, as ordered operators take it: offsets first, partitions within.
+    return Flow(df.select((F.col("offset") * 65_536 + F.col("partition")).alias("seq"), *(["key"] if keys else []), "value"), "seq", name="from_kafka")

@@ -125,3 +125,56 @@ def test_kafka_options():
     assert o["subscribe"] == "t" and o["maxOffsetsPerTrigger"] == "4"
     with pytest.raises(ValueError):
         kafka_options("t", {}, npartitions=0)
+
+
+def test_zip_latest_pairs_early_elements_with_one_moment(spark):
+    a, b, c = side(spark, [(k, f"a{k}") for k in (0, 1, 2, 5, 9)]), side(spark, [(3, "b"), (7, "B")]), side(spark, [(4, "c"), (6, "C")])
+    assert sorted(tuple(r) for r in a.zip_latest(b, c).df.collect()) == [(0, "a0", "b", "c"), (1, "a1", "b", "c"), (2, "a2", "b", "c"), (5, "a5", "b", "c"), (9, "a9", "B", "C")]
+    assert a.zip_latest(b, side(spark, [])).df.count() == 0
+
+
+def test_rate_limit_holds_for_later_operators(spark):
+    f = side(spark, [(0, "x")]).rate_limit("500ms").filter("value is not null")
+    assert f.trigger == {"processingTime": "0.5 seconds"}
+
+
+def test_disconnect(spark):
+    a, b, c = (side(spark, [(k, str(k))]) for k in range(3))
+    both = a.connect(b)
+    assert values(both.disconnect(b)) == ["0"]
+    with pytest.raises(ValueError):
+        both.disconnect(c)
+
+
+def test_running_by_key_spreads_a_hot_key(spark):
+    rows = [(k, None if k % 10 == 3 else "hot" if k % 10 else "rare", k) for k in range(500)]
+    f = Flow(spark.createDataFrame(rows, "seq long, key string, value long"), key="key")
+    got = {r.seq: r.total for r in f.accumulate("sum", name="total").df.collect()}
+    seen = {}
+    for seq, key, v in rows:
+        seen[key] = seen.get(key, 0) + v
+        assert got[seq] == seen[key]
+    assert [r.part for r in f.partition(50).df.where("key = 'rare'").collect()] == [0]
+
+
+def test_streams_carry_state_over_micro_batches(spark, tmp_path):
+    """Four files, one a micro-batch: the same results as on the whole table."""
+    import time
+
+    df = spark.range(40).select(F.col("id").alias("seq"), (F.col("id") * 7 % 11).alias("value"))
+    for k in range(4):
+        df.where(f"seq div 10 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)
+    live = Flow(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    table = Flow(df)
+
+    def rows(f):
+        return sorted(tuple(r) for r in f.collect())
+
+    from millrace.streaming.sinks import drained
+
+    assert rows(drained(live.sliding_window(3).df.select("seq", "values"))) == rows(table.sliding_window(3).df.select("seq", "values"))
+    assert rows(drained(live.partition(7).df.select("seq", "values"))) == rows(table.partition(7).df.select("seq", "values"))
+    assert rows(drained(live.accumulate("sum", name="t").df.select("seq", "t"))) == rows(table.accumulate("sum", name="t").df.select("seq", "t"))
+    flush = F.col("value") == 0
+    assert rows(drained(live.collect(flush).df.select("seq", "values"))) == rows(table.collect(flush).df.select("seq", "values"))

@@ -85,3 +85,42 @@ def test_elementwise(spark):
     got = f.assign(m=f.x % f.y, d=f.x // f.y, r=2 - f.x, q=f.x > 0).df.orderBy("seq").collect()
     assert tuple(got[0])[3:] == (2, -3, 9, False)
     assert got[1]["m"] is None and got[1]["d"] is None
+
+
+def test_query_takes_literals_as_they_are(spark):
+    rows = [(0, "a&b", 1), (1, "x|y", 2), (2, "c==d", 3), (3, "[z]", 4), (4, "~", 5)]
+    f = FlowFrame(spark.createDataFrame(rows, "seq long, name string, n long"), "seq")
+    ask = lambda text: sorted(r.seq for r in f.query(text).df.collect())
+    assert [ask(f"name == '{t}'") for _, t, _ in rows] == [[0], [1], [2], [3], [4]]
+    assert ask("n > 1 & n < 4 | name == '~'") == [1, 2, 4] and ask("1 < n <= 3") == [1, 2]
+    assert ask("name in ['a&b', '[z]'] and not n == 4") == [0] and ask("~(n % 2 == 0)") == [0, 2, 4] and ask("n not in (1, 2)") == [2, 3, 4]
+
+
+def test_division_by_zero(spark):
+    f = FlowFrame(spark.createDataFrame([(0, 1.0, 0.0), (1, -1.0, 0.0), (2, 0.0, 0.0), (3, 3.0, 2.0)], "seq long, a double, b double"), "seq")
+    got = [r.q for r in f.assign(q=f.a / f.b).df.orderBy("seq").collect()]
+    assert got[:2] == [float("inf"), float("-inf")] and got[2] != got[2] and got[3] == 1.5
+
+
+def test_ewm_skips_nulls_and_spans_ranges(spark):
+    x = [None if k % 5 == 2 else float(k % 7) for k in range(200)]
+    f = FlowFrame(spark.createDataFrame(list(enumerate(x)), "seq long, x double"), "seq")
+    r = w = 0.0
+    for v in x:
+        if v is not None:
+            r, w = r * 0.5 + v, w * 0.5 + 1
+    assert f.ewm(com=1).mean().first().x == pytest.approx(r / w)
+
+
+def test_user_aggregation(spark):
+    class Count:
+        def initial(self, rows):
+            return 0
+
+        def on_new(self, state, rows):
+            return state + len(rows), state + len(rows)
+
+    f = FlowFrame(spark.createDataFrame([(k, k // 4, "ab"[k % 2]) for k in range(10)], "seq long, b long, key string"), "seq", batch="b")
+    assert sorted(tuple(r) for r in f.aggregate(Count(), "b long, n long").collect()) == [(0, 4), (1, 8), (2, 10)]
+    assert sorted(tuple(r) for r in f.aggregate(Count(), "b long, n long", start=100).collect()) == [(0, 104), (1, 108), (2, 110)]
+    assert sorted(tuple(r) for r in f.groupby("key").aggregate(Count(), "b long, key string, n long").collect())[-1] == (2, "b", 5)
