@@ -9,7 +9,8 @@ size level the hashes are dealt by their leading bits into more blocks than K, s
 least one block that is not empty. A pair therefore meets in a bucket of equal blocks, however frequent its single
 shingles are: a passage that many documents share fills hardly any block alone. Within a bucket
 
-1. every member is verified against a hub (bound first, then sets), and links are contracted to components;
+1. every member is verified against a hub (bound first, then sets), and links are contracted to components: first
+   against the least hub of all its buckets, then against those of its hubs that are still in other components;
 2. in buckets of three or more that still hold several components, R-trees over the members' points (one for each
    ``MEMBERS`` of a bucket, in tasks of their own) find, for each member outside the largest component, the partners in other components whose bound suffices. They are verified
    best bound first, 1, then 16, then 256 ... a member, until it is connected or no partner is left. So no link
@@ -267,16 +268,21 @@ PART = 128
 
 
 def verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """Of distinct pairs (hub, k1), those linked, as (a, b). Members of a frequent hub are dealt to several parts."""
+    """Of distinct pairs (hub, k1), those linked, as (a, b). Members of a frequent hub are dealt to several parts. Of
+    ``texts`` only those that the pairs name are sent."""
     spark = pairs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     parts = keep(parts, "parts")
     members = pairs.join(sized_broadcast(parts), "hub").select("hub", F.pmod(F.hash("k1"), F.col("parts")).alias("part"), "k1")
     hubs = parts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hub").alias("k1"))
-    rows = members.union(hubs).join(texts, "k1").select("hub", "part", "k1", "text", (F.col("k1") != F.col("hub")).alias("member"))
+    dealt = keep(members.union(hubs), "dealt")
+    wanted = keep(dealt.select("k1").distinct(), "wanted")
+    rows = dealt.join(texts.join(sized_broadcast(wanted), "k1", "left_semi"), "k1").select("hub", "part", "k1", "text", (F.col("k1") != F.col("hub")).alias("member"))
     rows = rows.repartition(n, "hub", "part").sortWithinPartitions("hub", "part", "member")
-    return rows.select("hub", "part", "k1", "text").mapInArrow(_verify(rule), "a long, b long")
+    links = keep(rows.select("hub", "part", "k1", "text").mapInArrow(_verify(rule), "a long, b long"), "links")
+    forget(parts, dealt, wanted)
+    return links
 
 
 #: Partners of a member that are verified first.
@@ -375,6 +381,13 @@ def _across(rule: Rule, most: int):
     return run
 
 
+def _open(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """Pairs (hub, k1) whose ends are in different components."""
+    hub, own = comp.toDF("hub", "x"), comp.toDF("k1", "y")
+    both = pairs.join(sized_broadcast(hub), "hub", "left").join(sized_broadcast(own), "k1", "left")
+    return both.where(F.coalesce("x", "hub") != F.coalesce("y", "k1")).select("hub", "k1")
+
+
 def _apart(buckets: DataFrame, comp: DataFrame) -> DataFrame:
     """Rows (sig, k1, comp, parts) of buckets of three or more members in several components; of buckets with the same
     members (by two 64-bit hashes of the set) one. parts: in how many the bucket is searched."""
@@ -437,8 +450,16 @@ def similarity_groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_i
         base.join(sized_broadcast(nodes), ["doc_id", "code"]).select("k1", "text"),
         "texts",
     )
-    links = keep(verified(pairs, texts, rule), "links")
-    comp, used = components(links), [pairs, nodes, texts, links]
+    first = keep(pairs.groupBy("k1").agg(F.min("hub").alias("hub")).select("hub", "k1"), "first")
+    links = verified(first, texts, rule)
+    comp, used = components(links), [pairs, nodes, texts, first, links]
+    rest = keep(_open(pairs, comp).join(first, ["hub", "k1"], "left_anti"), "rest")
+    others = verified(rest, texts, rule)
+    used += [rest, others]
+    if others.limit(1).count():
+        links = links.union(others)
+        forget(comp)
+        comp = components(links)
 
     apart = _apart(buckets, comp)
     rows, most = _outside(apart), FIRST
@@ -451,7 +472,7 @@ def similarity_groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_i
         new = keep(found.select("hub", "k1").distinct().join(pairs, ["hub", "k1"], "left_anti"), "new")
         more = found.where("more = 1").select(F.col("hub").alias("k1")).union(found.where("more = 2").select("k1")).distinct()
         more = keep(more.withColumn("ask", F.lit(True)), "more")
-        linked = keep(verified(new, texts, rule), "links")
+        linked = verified(new, texts, rule)
         used += [found, new, more, linked]
         joined = linked.limit(1).count()
         if joined:
