@@ -289,12 +289,17 @@ def verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
 FIRST = 1
 
 
+#: Types of a point's counts; the smallest that holds them is sent.
+KINDS = np.dtype(np.uint8), np.dtype(np.uint16), np.dtype(np.uint32)
+
+
 def _points_of(column: pa.Array) -> np.ndarray:
     """A row of counts for each value that ``_points`` has written."""
     data, off = raw(column)
-    if (np.diff(off) == 2 * GROUPS).all():
-        return data[off[0] : off[-1]].view(np.uint16).reshape(-1, GROUPS)
-    return np.stack([np.frombuffer(p, np.uint16 if len(p) == 2 * GROUPS else np.uint32) for p in column.to_pylist()])
+    for kind in KINDS:
+        if (np.diff(off) == GROUPS * kind.itemsize).all():
+            return data[off[0] : off[-1]].view(kind).reshape(-1, GROUPS)
+    return np.stack([np.frombuffer(p, next(k for k in KINDS if len(p) == GROUPS * k.itemsize)) for p in column.to_pylist()])
 
 
 #: Members of a bucket, about, that one task puts in a tree; larger buckets are dealt to several.
@@ -421,7 +426,7 @@ def _points(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = [point(s) for s in sets(batch.column("text"), rule)]
-            pts = [c.astype(np.uint16 if c.max() < 65_536 else np.uint32).tobytes() for c in counts]
+            pts = [c.astype(next(k for k in KINDS if c.max() <= np.iinfo(k).max)).tobytes() for c in counts]
             yield pa.RecordBatch.from_arrays([batch.column("k1"), pa.array(pts, pa.binary())], ["k1", "point"])
 
     return run
