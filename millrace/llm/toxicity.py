@@ -74,24 +74,33 @@ class Machine:
         return np.concatenate(out)
 
 
+#: Terms of training rows that a step of the fit takes at once.
+PART = 200_000
+
+
 def fit_machine(vocabulary: np.ndarray, row: np.ndarray, term: np.ndarray, label: np.ndarray, s: Settings) -> Machine:
-    """Logistic loss, full-batch Adam, squared penalty on weights and vectors."""
+    """Logistic loss, full-batch Adam, squared penalty on weights and vectors. ``row`` is sorted; a step goes through the
+    rows in parts of about ``PART`` terms, so that beside its input it holds little."""
     n, k = len(vocabulary), s.factors
     rng = np.random.default_rng(1)
     m = Machine(vocabulary, 0.0, np.zeros(n), rng.normal(0, 0.01, (n, k)))
     theta = np.concatenate(([0.0], m.w, m.v.ravel()))
     first, second = np.zeros_like(theta), np.zeros_like(theta)
+    start = np.searchsorted(row, np.arange(len(label) + 1))
+    docs = np.unique(np.concatenate(([0], np.searchsorted(start, np.arange(PART, len(row), PART)), [len(label)])))
     for step in range(1, s.steps + 1):
         m.w0, m.w, m.v = theta[0], theta[1 : n + 1], theta[n + 1 :].reshape(n, k)
-        p = 1 / (1 + np.exp(-np.clip(m.raw_score(row, term, len(label)), -30, 30)))
-        e = (p - label) / max(1, len(label))
-        er = e[row]
-        gv = np.empty((n, k))
-        for f in range(k):
-            x = m.v[term, f]
-            total = np.bincount(row, x, len(label))
-            gv[:, f] = np.bincount(term, er * (total[row] - x), n)
-        g = np.concatenate(([e.sum()], np.bincount(term, er, n), gv.ravel()))
+        e, gw, gv = np.zeros(len(label)), np.zeros(n), np.zeros((n, k))
+        for i, j in zip(docs[:-1], docs[1:], strict=True):
+            r, t = row[start[i] : start[j]].astype(np.int64) - i, term[start[i] : start[j]].astype(np.int64)
+            p = 1 / (1 + np.exp(-np.clip(m.raw_score(r, t, j - i), -30, 30)))
+            e[i:j] = (p - label[i:j]) / max(1, len(label))
+            er = e[i:j][r]
+            gw += np.bincount(t, er, n)
+            for f in range(k):
+                x = m.v[t, f]
+                gv[:, f] += np.bincount(t, er * (np.bincount(r, x, j - i)[r] - x), n)
+        g = np.concatenate(([e.sum()], gw, gv.ravel()))
         g[1:] += s.decay * theta[1:]
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
         theta = theta - 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
@@ -153,8 +162,8 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), keep_row
     got = sample.mapInArrow(_rows(blank), "toxic int, terms array<int>").toArrow()
     label = got.column("toxic").to_numpy().astype(float)
     lists = got.column("terms").combine_chunks() if len(label) else pa.array([], pa.list_(pa.int32()))
-    row = np.repeat(np.arange(len(label)), np.asarray(lists.value_lengths(), np.int64) if len(label) else 0)
-    term = np.asarray(lists.flatten(), np.int64) if len(label) else np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(label), dtype=np.int32), np.asarray(lists.value_lengths(), np.int64) if len(label) else 0)
+    term = np.asarray(lists.flatten(), np.int32) if len(label) else np.zeros(0, np.int32)
     m = fit_machine(vocabulary, row, term, label, s)
     if used[0] and used[1]:  # the labels' own odds instead of the sample's
         m.w0 += np.log(total[1] / used[1]) - np.log(total[0] / used[0])
