@@ -4,10 +4,12 @@ A document is the set of its distinct word shingles. Shingles are hashed into gr
 and the sum of coordinate minima of two points bounds the intersection from above, so that only pairs whose bound
 reaches the threshold are verified on the sets themselves.
 
-Two sets that reach the threshold differ in at most K(size) shingles. Routing uses this on the coordinates: at each
-size level the hashes are dealt by their leading bits into more blocks than K, so a linked pair agrees on the whole of at
-least one block that is not empty. A pair therefore meets in a bucket of equal blocks, however frequent its single
-shingles are: a passage that many documents share fills hardly any block alone. Within a bucket
+Two sets that reach the threshold differ in at most K(size) shingles. Routing uses this: at each size level the
+hashes are dealt by their leading bits into blocks. Sets of up to about 200 shingles take more blocks than K, so that a
+linked pair agrees on the whole of at least one that is not empty. Larger sets take half as many again as K and send a
+fixed number of them (about 70), of which a linked pair agrees on none with a chance of at most 2 ** -64. A pair
+therefore meets in a bucket of equal blocks, however frequent its single shingles are: a passage that many documents
+share fills hardly any block alone. Within a bucket
 
 1. every member is verified against a hub (bound first, then sets), and links are contracted to components: first
    against the least hub of all its buckets, then against those of its hubs that are still in other components;
@@ -54,21 +56,57 @@ class Rule:
         return -(-self.num * total // (self.den + self.num))
 
 
+#: A linked pair is missed by a level of more blocks than ``sent`` with a chance of at most ``2 ** -MISS``: no more than
+#: two sets have of one 64-bit hash.
+MISS = 64
+
+
+@dataclass(frozen=True)
+class Level:
+    """Sets of ``low`` elements or more are dealt to ``blocks``. Of the first ``sent`` there is a signature each, and a
+    linked pair agrees on one of them; it may leave out up to ``spare`` empty blocks."""
+
+    low: int
+    blocks: int
+    sent: int
+    spare: int
+
+
+def _every(rule: Rule, low: int, high: int) -> Level:
+    """More blocks than a linked pair differs in, all sent."""
+    k = rule.differ(2 * high) + 1
+    z = 0
+    for _ in range(6):
+        empty = (k + z) * np.exp(-(rule.num * low / rule.den) / (k + z))
+        z = int(np.ceil(empty + 4 * np.sqrt(empty)))
+    return Level(low, k + z, k + z, z)
+
+
+def _some(rule: Rule, low: int, high: int) -> Level:
+    """So many of the blocks that a linked pair agrees on one that is not empty, but for a chance of ``2 ** -MISS``.
+
+    A block serves a pair when no element in which its sets differ falls into it, and some common one does. Elements fall
+    into blocks independently, so that blocks which do not serve are negatively associated, and the chance that none of
+    ``sent`` serves is at most the product of theirs. It is largest at the least or the greatest total size.
+    """
+    blocks = rule.differ(2 * high) * 3 // 2 + 1
+    stays = 1 - 1 / blocks
+    serves = min(stays ** rule.differ(total) * (1 - stays ** rule.needed(total)) for total in (low + rule.num * low // rule.den, 2 * high))
+    return Level(low, blocks, int(np.ceil(-MISS * np.log(2) / np.log1p(-serves))), blocks)
+
+
 @lru_cache(None)
-def levels(rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower size of each level, its blocks, and the empty blocks a set may leave out."""
+def levels(rule: Rule) -> tuple[np.ndarray, list[Level]]:
+    """Lower size of each level, and the levels: all blocks for small sets, some for large ones."""
     low = next(n for n in range(1, 10_000) if rule.differ(2 * n) >= 1)
-    lows, m, spare = [], [], []
+    out = []
     while low < 1 << 40:
-        high = max(low, int(low * 1.25))
-        k = rule.differ(2 * high) + 1
-        z = 0
-        for _ in range(6):
-            empty = (k + z) * np.exp(-(rule.num * low / rule.den) / (k + z))
-            z = int(np.ceil(empty + 4 * np.sqrt(empty)))
-        lows, m, spare = [*lows, low], [*m, k + z], [*spare, z]
-        low = high + 1
-    return np.array(lows), np.array(m), np.array(spare)
+        high, wide = max(low, int(low * 1.25)), int(low * 1.5)
+        every, some = _every(rule, low, high), _some(rule, low, wide)
+        fewer = some.sent < min(every.sent, some.blocks)
+        out.append(some if fewer else every)
+        low = (wide if fewer else high) + 1
+    return np.array([x.low for x in out]), out
 
 
 def sets(column: pa.Array, rule: Rule) -> Iterator[np.ndarray]:
@@ -81,20 +119,23 @@ def sets(column: pa.Array, rule: Rule) -> Iterator[np.ndarray]:
 
 
 def signatures(s: np.ndarray, rule: Rule) -> list[np.ndarray]:
-    """A hash of each block of the set, at its own level and those a larger partner may have."""
-    lows, m, spare = levels(rule)
+    """A hash of each block of the set that is sent, at its own level and those a larger partner may have."""
+    lows, every = levels(rule)
     n = len(s)
     first = max(0, int(np.searchsorted(lows, n, "right")) - 1)
     last = int(np.searchsorted(lows, n * rule.den // rule.num, "right")) - 1
     mixed = mix(s ^ U(0x5851F42D4C957F2D))
     out = []
-    for level in range(first, last + 1):
-        block = ((s >> U(32)) * U(m[level])) >> U(32)
-        start = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-        tag = mix(block[start] + U(level << 40))
-        out.append(mix(np.add.reduceat(mixed, start) + tag))
-        if m[level] - len(start) > spare[level]:
-            out.append(mix(np.setdiff1d(np.arange(m[level], dtype=np.uint64), block[start]) + U(level << 40) + U(1 << 60)))
+    for k in range(first, last + 1):
+        level = every[k]
+        block = ((s >> U(32)) * U(level.blocks)) >> U(32)
+        block = block[: np.searchsorted(block, U(level.sent))]
+        start = np.flatnonzero(np.diff(block, prepend=U(level.sent)))
+        full = block[start]
+        if len(full):
+            out.append(mix(np.add.reduceat(mixed[: len(block)], start) + mix(full + U(k << 40))))
+        if level.blocks - len(full) > level.spare:
+            out.append(mix(np.setdiff1d(np.arange(level.blocks, dtype=np.uint64), full) + U(k << 40) + U(1 << 60)))
     return out
 
 

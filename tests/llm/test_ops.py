@@ -91,6 +91,27 @@ def test_join_deals_large_buckets(spark, monkeypatch):
         assert Counter(tuple(r) for r in got.collect()) == brute_components(rows, rule.width, rule.num, rule.den)
 
 
+@pytest.mark.parametrize("rule", [jaccard.Rule(), jaccard.Rule(4, 85, 100)])
+def test_linked_sets_share_signatures(rule):
+    """Pairs exactly at the threshold, of sizes that send all of their blocks and of such that send some."""
+    rng = np.random.default_rng(11)
+    every = jaccard.levels(rule)[1]
+    assert all(x.sent <= x.blocks for x in every) and {x.sent < x.blocks for x in every} == {False, True}
+    for n in [8, 12, 30, 60, 150, 210, 250, 400, 700, 3000] * 20:
+        m = int(rng.integers(n * rule.num // rule.den + 1, n + 1))
+        need = rule.needed(n + m)
+        new = [np.unique(rng.integers(0, 2**64, size=k, dtype=np.uint64)) for k in (need, n - need, m - need)]
+        a, b = np.union1d(new[0], new[1]), np.union1d(new[0], new[2])
+        if need <= m and len(new[0]) * rule.den >= rule.num * len(np.union1d(a, b)):
+            x, y = (np.concatenate(jaccard.signatures(s, rule)) for s in (a, b))
+            assert len(np.intersect1d(x, y)) >= 3, (n, m)
+
+
+def test_signatures_of_large_sets_are_few():
+    sent = [sum(map(len, jaccard.signatures(np.unique(np.random.default_rng(n).integers(0, 2**64, size=n, dtype=np.uint64)), jaccard.Rule()))) for n in (500, 5_000, 50_000)]
+    assert max(sent) <= 3 * 70
+
+
 @pytest.mark.parametrize("words", [2, 5, 6, 9])
 def test_join_of_short_texts(spark, words):
     """Tables of nothing but short texts: sets of so few shingles that only equal ones are linked."""
