@@ -8,11 +8,11 @@ Two sets that reach the threshold differ in at most K(size) shingles. Routing us
 hashes are dealt by their leading bits into blocks. Sets of up to about 200 shingles take more blocks than K, so that a
 linked pair agrees on the whole of at least one that is not empty. Larger sets take half as many again as K and send a
 fixed number of them (about 70), of which a linked pair agrees on none with a chance of at most 2 ** -64. A pair
-therefore meets in a bucket of equal blocks, however frequent its single shingles are: a passage that many documents
-share fills hardly any block alone. Within a bucket
+therefore meets in a bucket of equal blocks. Within a bucket
 
-1. every member is verified against a hub (bound first, then sets), and links are contracted to components: first
-   against the least hub of all its buckets, then against those of its hubs that are still in other components;
+1. every member is compared with the hub by their points, which are much smaller than texts, and verified on the sets
+   where the bound suffices; links are contracted to components: first against the least hub of all its buckets, then
+   against those of its hubs that are still in other components;
 2. in buckets of three or more that still hold several components, R-trees over the members' points (one for each
    ``MEMBERS`` of a bucket, in tasks of their own) find, for each member outside the largest component, the partners in other components whose bound suffices. They are verified
    best bound first, 1, then 16, then 256 ... a member, until it is connected or no partner is left. So no link
@@ -304,13 +304,48 @@ def _verify(rule: Rule):
     return run
 
 
+def _bounded(rule: Rule):
+    """Rows (hub, part, k1, point), each part's hub first: pairs (hub, k1) whose bound suffices."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            hub, part, k = (batch.column(c).to_numpy() for c in ("hub", "part", "k1"))
+            points = _points_of(batch.column("point"))
+            close = np.zeros(len(k), bool)
+            cut = np.flatnonzero((hub[1:] != hub[:-1]) | (part[1:] != part[:-1])) + 1
+            for i, j in zip([0, *cut], [*cut, len(k)], strict=True):
+                if (hub[i], part[i]) != key:
+                    key, own = (hub[i], part[i]), None
+                if k[i] == hub[i]:
+                    own, i = points[i].astype(np.int64), i + 1
+                if own is not None:
+                    some = points[i:j].astype(np.int64)
+                    close[i:j] = np.minimum(some, own).sum(1) >= rule.needed(some.sum(1) + own.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(hub[close]), pa.array(k[close])], ["hub", "k1"])
+
+    return run
+
+
 #: Members that one task verifies against one hub.
 PART = 128
 
 
 def verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """Of distinct pairs (hub, k1), those linked, as (a, b). Members of a frequent hub are dealt to several parts. Of
-    ``texts`` only those that the pairs name are sent."""
+    """Of distinct pairs (hub, k1), those linked, as (a, b)."""
+    return _with_hubs(pairs, texts, "text", _verify(rule), "a long, b long", "links")
+
+
+def near(pairs: DataFrame, points: DataFrame, rule: Rule) -> DataFrame:
+    """Of distinct pairs (hub, k1), those whose bound suffices for a link."""
+    return _with_hubs(pairs, points, "point", _bounded(rule), "hub long, k1 long", "near")
+
+
+def _with_hubs(pairs: DataFrame, values: DataFrame, column: str, run, schema: str, name: str) -> DataFrame:
+    """``run`` over rows (hub, part, k1, value) of distinct pairs (hub, k1), each part's hub first. Members of a frequent
+    hub are dealt to several parts. Of ``values`` (k1, column) only those that the pairs name are sent."""
     spark = pairs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
@@ -319,28 +354,44 @@ def verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     hubs = parts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hub").alias("k1"))
     dealt = keep(members.union(hubs), "dealt")
     wanted = keep(dealt.select("k1").distinct(), "wanted")
-    rows = dealt.join(texts.join(sized_broadcast(wanted), "k1", "left_semi"), "k1").select("hub", "part", "k1", "text", (F.col("k1") != F.col("hub")).alias("member"))
+    rows = dealt.join(values.join(sized_broadcast(wanted), "k1", "left_semi"), "k1").select("hub", "part", "k1", column, (F.col("k1") != F.col("hub")).alias("member"))
     rows = rows.repartition(n, "hub", "part").sortWithinPartitions("hub", "part", "member")
-    links = keep(rows.select("hub", "part", "k1", "text").mapInArrow(_verify(rule), "a long, b long"), "links")
+    out = keep(rows.select("hub", "part", "k1", column).mapInArrow(run, schema), name)
     forget(parts, dealt, wanted)
-    return links
+    return out
 
 
 #: Partners of a member that are verified first.
 FIRST = 1
 
 
-#: Types of a point's counts; the smallest that holds them is sent.
+#: Types of a point's counts; the smallest that holds them is sent, counts below 16 two a byte.
 KINDS = np.dtype(np.uint8), np.dtype(np.uint16), np.dtype(np.uint32)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """A point as bytes."""
+    most = counts.max()
+    if most < 16:
+        return (counts[::2] | counts[1::2] << 4).astype(np.uint8).tobytes()
+    return counts.astype(next(k for k in KINDS if most <= np.iinfo(k).max)).tobytes()
+
+
 def _points_of(column: pa.Array) -> np.ndarray:
-    """A row of counts for each value that ``_points`` has written."""
+    """A row of counts for each value that ``_packed`` has made."""
     data, off = raw(column)
-    for kind in KINDS:
-        if (np.diff(off) == GROUPS * kind.itemsize).all():
-            return data[off[0] : off[-1]].view(kind).reshape(-1, GROUPS)
-    return np.stack([np.frombuffer(p, next(k for k in KINDS if len(p) == GROUPS * k.itemsize)) for p in column.to_pylist()])
+    size = np.diff(off)
+    kinds = [None, *KINDS]
+    width = [GROUPS // 2, *(GROUPS * k.itemsize for k in KINDS)]
+    out = np.empty((len(size), GROUPS), next((k or KINDS[0] for k, w in zip(kinds, width, strict=True) if w == size.max(initial=0)), KINDS[0]))
+    for kind, w in zip(kinds, width, strict=True):
+        at = np.flatnonzero(size == w)
+        some = data[off[at][:, None] + np.arange(w)] if len(at) else np.zeros((0, w), np.uint8)
+        if kind is None:
+            out[at, ::2], out[at, 1::2] = some & 15, some >> 4
+        else:
+            out[at] = some.view(kind)
+    return out
 
 
 #: Members of a bucket, about, that one task puts in a tree; larger buckets are dealt to several.
@@ -467,8 +518,7 @@ def _points(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = [point(s) for s in sets(batch.column("text"), rule)]
-            pts = [c.astype(next(k for k in KINDS if c.max() <= np.iinfo(k).max)).tobytes() for c in counts]
-            yield pa.RecordBatch.from_arrays([batch.column("k1"), pa.array(pts, pa.binary())], ["k1", "point"])
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), pa.array([_packed(c) for c in counts], pa.binary())], ["k1", "point"])
 
     return run
 
@@ -496,10 +546,12 @@ def similarity_groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_i
         base.join(sized_broadcast(nodes), ["doc_id", "code"]).select("k1", "text"),
         "texts",
     )
-    first = keep(pairs.groupBy("k1").agg(F.min("hub").alias("hub")).select("hub", "k1"), "first")
+    points = keep(texts.mapInArrow(_points(rule), "k1 long, point binary"), "points")
+    close = near(pairs, points, rule)
+    first = keep(close.groupBy("k1").agg(F.min("hub").alias("hub")).select("hub", "k1"), "first")
     links = verified(first, texts, rule)
-    comp, used = components(links), [pairs, nodes, texts, first, links]
-    rest = keep(_open(pairs, comp).join(first, ["hub", "k1"], "left_anti"), "rest")
+    comp, used = components(links), [pairs, nodes, texts, points, close, first, links]
+    rest = keep(_open(close, comp).join(first, ["hub", "k1"], "left_anti"), "rest")
     others = verified(rest, texts, rule)
     used += [rest, others]
     if others.limit(1).count():
@@ -511,15 +563,15 @@ def similarity_groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_i
     rows, most = _outside(apart), FIRST
     used += [apart, rows]
     while rows.limit(1).count():
-        points = texts.join(sized_broadcast(keep(rows.select("k1").distinct(), "left")), "k1").mapInArrow(_points(rule), "k1 long, point binary")
-        full = _dealt(rows).join(points, "k1").repartition(n, "sig", "part").sortWithinPartitions("sig", "part", F.desc("member"))
+        left = keep(rows.select("k1").distinct(), "left")
+        full = _dealt(rows).join(points.join(sized_broadcast(left), "k1", "left_semi"), "k1").repartition(n, "sig", "part").sortWithinPartitions("sig", "part", F.desc("member"))
         found = full.select("sig", "part", "k1", "comp", "ask", "member", "point").mapInArrow(_across(rule, most), "hub long, k1 long, more long").distinct()
         found = keep(found, "across")
-        new = keep(found.select("hub", "k1").distinct().join(pairs, ["hub", "k1"], "left_anti"), "new")
+        new = keep(found.select("hub", "k1").distinct().join(close, ["hub", "k1"], "left_anti"), "new")
         more = found.where("more = 1").select(F.col("hub").alias("k1")).union(found.where("more = 2").select("k1")).distinct()
         more = keep(more.withColumn("ask", F.lit(True)), "more")
         linked = verified(new, texts, rule)
-        used += [found, new, more, linked]
+        used += [left, found, new, more, linked]
         joined = linked.limit(1).count()
         if joined:
             links = links.union(linked)
@@ -527,7 +579,7 @@ def similarity_groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_i
             comp = components(links)
         if not more.limit(1).count():
             break
-        pairs = pairs.union(new)
+        close = close.union(new)
         if joined:
             rows = _apart(rows.select("sig", "k1"), comp)
             used.append(rows)

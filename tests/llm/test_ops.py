@@ -120,6 +120,44 @@ def test_join_of_short_texts(spark, words):
     assert Counter(tuple(r) for r in got.collect()) == brute_components(rows, 5, 80, 100)
 
 
+def sharing(n: int, shared: int) -> list[tuple[int, str]]:
+    """Texts of 120 words of which all share a passage, so that they meet in buckets but are not linked."""
+    return [(k, " ".join([f"s{w}" for w in range(shared)] + [f"m{k}x{w}" for w in range(120 - shared)])) for k in range(n)]
+
+
+def test_join_sends_texts_of_pairs_within_the_bound(spark, monkeypatch):
+    sent, verified = [], jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, *more: sent.append(pairs.count()) or verified(pairs, *more))
+    rows = sharing(40, 60)
+    rows += [(100 + k, t + f" and{k} more") for k, t in rows[:3]]
+    got = jaccard.similarity_groups(spark.createDataFrame(rows, "doc_id long, text string"), jaccard.Rule(4, 85, 100))
+    assert Counter(tuple(r) for r in got.collect()) == brute_components(rows, 4, 85, 100)
+    assert sum(sent) == 3
+
+
+def test_bound_of_pairs_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PART", 5)
+    rng, rule = np.random.default_rng(5), jaccard.Rule(4, 85, 100)
+    points = rng.poisson(1, (60, jaccard.GROUPS))
+    points[20:] = np.maximum(points[np.arange(40) % 3] + rng.poisson(rng.random((40, 1)) / 3, (40, jaccard.GROUPS)), 0)
+    points[3::10, 5] = 1000
+    table = spark.createDataFrame([(k, bytearray(jaccard._packed(c))) for k, c in enumerate(points)], "k1 long, point binary")
+    pairs = [(h, k) for h in (0, 1, 2, 3) for k in range(60) if k != h]
+    got = jaccard.near(spark.createDataFrame(pairs, "hub long, k1 long"), table, rule).collect()
+    want = {(h, k) for h, k in pairs if np.minimum(points[h], points[k]).sum() >= rule.needed(points[h].sum() + points[k].sum())}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want and 0 < len(want) < len(pairs)
+
+
+def test_points_are_read_as_written():
+    rng = np.random.default_rng(6)
+    points = rng.integers(0, 3, (9, jaccard.GROUPS))
+    points[2, 7], points[4, 1], points[5, 0], points[6, 3] = 15, 16, 300, 70_000
+    for some in (points, points[:3], points[:5], points[:0], points[::-1]):
+        column = jaccard.pa.array([jaccard._packed(c) for c in some], jaccard.pa.binary())
+        assert (jaccard._points_of(column) == some).all()
+    assert len(jaccard._packed(points[0])) == jaccard.GROUPS // 2
+
+
 def test_join_of_one_text(spark):
     got = jaccard.similarity_groups(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), jaccard.Rule(4, 85, 100))
     assert [tuple(r) for r in got.collect()] == [(1, 3, 1)]
