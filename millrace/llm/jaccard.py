@@ -8,13 +8,14 @@ Two sets that reach the threshold differ in at most K(size) shingles. Routing us
 hashes are dealt by their leading bits into blocks. Sets of up to about 200 shingles take more blocks than K, so that a
 linked pair agrees on the whole of at least one that is not empty. Larger sets take half as many again as K and send a
 fixed number of them (about 70), of which a linked pair agrees on none with a chance of at most 2 ** -64. A pair
-therefore meets in a bucket of equal blocks. Within a bucket
+therefore meets in a bucket of equal blocks. Sets that share a bucket often share many, so buckets of one hub (its least
+member) are one group from there on: each set is in it once, however many of these buckets it is in. Within a group
 
 1. every member is compared with the hub by their points, which are much smaller than texts, and verified on the sets
-   where the bound suffices; links are contracted to components: first against the least hub of all its buckets, then
+   where the bound suffices; links are contracted to components: first against the least hub of a member's groups, then
    against those of its hubs that are still in other components;
-2. in buckets of three or more that still hold several components, R-trees over the members' points (one for each
-   ``MEMBERS`` of a bucket, in tasks of their own) find, for each member outside the largest component, the partners in other components whose bound suffices. They are verified
+2. in groups of three or more that still hold several components, R-trees over the members' points (one for each
+   ``MEMBERS`` of a group, in tasks of their own) find, for each member outside the largest component, the partners in other components whose bound suffices. They are verified
    best bound first, 1, then 16, then 256 ... a member, until it is connected or no partner is left. So no link
    between components is lost, and members of a large group of near copies are not paired with each other once they
    are connected.
@@ -485,10 +486,10 @@ def _open(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return both.where(F.coalesce("x", "hub") != F.coalesce("y", "k1")).select("hub", "k1")
 
 
-def _apart(buckets: DataFrame, comp: DataFrame) -> DataFrame:
-    """Rows (sig, k1, comp, parts) of buckets of three or more members in several components; of buckets with the same
-    members (by two 64-bit hashes of the set) one. parts: in how many the bucket is searched."""
-    rows = buckets.join(sized_broadcast(comp.withColumnRenamed("node", "k1")), "k1", "left").select("sig", "k1", F.coalesce("comp", "k1").alias("comp"))
+def _apart(groups: DataFrame, comp: DataFrame) -> DataFrame:
+    """Rows (sig, k1, comp, parts) of groups of three or more members in several components; of groups with the same
+    members (by two 64-bit hashes of the set) one. parts: in how many the group is searched."""
+    rows = groups.join(sized_broadcast(comp.withColumnRenamed("node", "k1")), "k1", "left").select("sig", "k1", F.coalesce("comp", "k1").alias("comp"))
     whole = rows.groupBy("sig").agg(
         F.count("*").alias("size"),
         F.min("comp").alias("lo"),
@@ -546,6 +547,8 @@ def similarity_groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_i
         base.join(sized_broadcast(nodes), ["doc_id", "code"]).select("k1", "text"),
         "texts",
     )
+    # Each set once a group, however many of the group's buckets it is in.
+    groups = pairs.select(F.col("hub").alias("sig"), "k1").union(pairs.select("hub", "hub").distinct())
     points = keep(texts.mapInArrow(_points(rule), "k1 long, point binary"), "points")
     close = near(pairs, points, rule)
     first = keep(close.groupBy("k1").agg(F.min("hub").alias("hub")).select("hub", "k1"), "first")
@@ -559,7 +562,7 @@ def similarity_groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_i
         forget(comp)
         comp = components(links)
 
-    apart = _apart(buckets, comp)
+    apart = _apart(groups, comp)
     rows, most = _outside(apart), FIRST
     used += [apart, rows]
     while rows.limit(1).count():

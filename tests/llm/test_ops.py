@@ -158,6 +158,16 @@ def test_points_are_read_as_written():
     assert len(jaccard._packed(points[0])) == jaccard.GROUPS // 2
 
 
+def test_join_searches_a_set_once_a_group(spark, monkeypatch):
+    """Sets that meet in many buckets are not dealt out once for each of them."""
+    dealt, deal = [], jaccard._dealt
+    monkeypatch.setattr(jaccard, "_dealt", lambda rows: dealt.append(rows.count()) or deal(rows))
+    rows = sharing(120, 90)
+    got = jaccard.similarity_groups(spark.createDataFrame(rows, "doc_id long, text string"), jaccard.Rule(4, 85, 100))
+    assert Counter(tuple(r) for r in got.collect()) == brute_components(rows, 4, 85, 100)
+    assert 0 < sum(dealt) <= 8 * len(rows)
+
+
 def test_join_of_one_text(spark):
     got = jaccard.similarity_groups(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), jaccard.Rule(4, 85, 100))
     assert [tuple(r) for r in got.collect()] == [(1, 3, 1)]
