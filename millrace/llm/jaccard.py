@@ -348,6 +348,10 @@ def _with_hubs(pairs: DataFrame, values: DataFrame, column: str, run, schema: st
     """``run`` over rows (hub, part, k1, value) of distinct pairs (hub, k1), each part's hub first. Members of a frequent
     hub are dealt to several parts. Of ``values`` (k1, column) only those that the pairs name are sent."""
     spark = pairs.sparkSession
+    if getattr(pairs, "kept_rows", None) == 0:
+        out = spark.createDataFrame([], schema)
+        out.kept_rows = 0
+        return out
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     parts = keep(parts, "parts")
@@ -482,14 +486,14 @@ def _across(rule: Rule, most: int):
 def _open(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     """Pairs (hub, k1) whose ends are in different components."""
     hub, own = comp.toDF("hub", "x"), comp.toDF("k1", "y")
-    both = pairs.join(sized_broadcast(hub), "hub", "left").join(sized_broadcast(own), "k1", "left")
+    both = pairs.join(sized_broadcast(hub, table=comp), "hub", "left").join(sized_broadcast(own, table=comp), "k1", "left")
     return both.where(F.coalesce("x", "hub") != F.coalesce("y", "k1")).select("hub", "k1")
 
 
 def _apart(groups: DataFrame, comp: DataFrame) -> DataFrame:
     """Rows (sig, k1, comp, parts) of groups of three or more members in several components; of groups with the same
     members (by two 64-bit hashes of the set) one. parts: in how many the group is searched."""
-    rows = groups.join(sized_broadcast(comp.withColumnRenamed("node", "k1")), "k1", "left").select("sig", "k1", F.coalesce("comp", "k1").alias("comp"))
+    rows = groups.join(sized_broadcast(comp.withColumnRenamed("node", "k1"), table=comp), "k1", "left").select("sig", "k1", F.coalesce("comp", "k1").alias("comp"))
     whole = rows.groupBy("sig").agg(
         F.count("*").alias("size"),
         F.min("comp").alias("lo"),
@@ -557,7 +561,7 @@ def similarity_groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_i
     rest = keep(_open(close, comp).join(first, ["hub", "k1"], "left_anti"), "rest")
     others = verified(rest, texts, rule)
     used += [rest, others]
-    if others.limit(1).count():
+    if others.kept_rows:
         links = links.union(others)
         forget(comp)
         comp = components(links)
@@ -565,7 +569,7 @@ def similarity_groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_i
     apart = _apart(groups, comp)
     rows, most = _outside(apart), FIRST
     used += [apart, rows]
-    while rows.limit(1).count():
+    while rows.kept_rows:
         left = keep(rows.select("k1").distinct(), "left")
         full = _dealt(rows).join(points.join(sized_broadcast(left), "k1", "left_semi"), "k1").repartition(n, "sig", "part").sortWithinPartitions("sig", "part", F.desc("member"))
         found = full.select("sig", "part", "k1", "comp", "ask", "member", "point").mapInArrow(_across(rule, most), "hub long, k1 long, more long").distinct()
@@ -575,12 +579,12 @@ def similarity_groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_i
         more = keep(more.withColumn("ask", F.lit(True)), "more")
         linked = verified(new, texts, rule)
         used += [left, found, new, more, linked]
-        joined = linked.limit(1).count()
+        joined = linked.kept_rows
         if joined:
             links = links.union(linked)
             forget(comp)
             comp = components(links)
-        if not more.limit(1).count():
+        if not more.kept_rows:
             break
         close = close.union(new)
         if joined:

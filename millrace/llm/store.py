@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,18 +41,20 @@ CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def keep(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again: cuts lineage and survives lost executors.
 
-    The shuffle files of the write are removed once it is done, as nothing reads them any more.
+    The shuffle files of the write are removed once it is done, as nothing reads them any more. The rows are counted as
+    they are written (``kept_rows``): a job less for each question about their number, and the driver holds on to all jobs.
     """
     spark = df.sparkSession
     path = folder(spark, name)
     before = spark.conf.get(CLEAN, None)
     spark.conf.set(CLEAN, "true")
+    written = Observation()
     try:
-        df.write.parquet(path)
+        df.observe(written, F.count(F.lit(1)).alias("n")).write.parquet(path)
     finally:
         spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
-    out.kept_at = path
+    out.kept_at, out.kept_rows = path, written.get["n"]
     return out
 
 
@@ -69,9 +71,11 @@ def forget(*tables: DataFrame) -> None:
 BROADCAST_ROWS = 400_000
 
 
-def sized_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only where a count proves ``df`` (a materialised, narrow table) within ``limit`` rows."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def sized_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS, table: DataFrame | None = None) -> DataFrame:
+    """Hint a broadcast only where a count proves ``df`` (a materialised, narrow table) within ``limit`` rows; ``table``:
+    what ``keep`` returned, where ``df`` has a row for each of its."""
+    n = getattr(df if table is None else table, "kept_rows", None)
+    return F.broadcast(df) if (df.limit(limit + 1).count() if n is None else n) <= limit else df
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -168,6 +168,14 @@ def test_join_searches_a_set_once_a_group(spark, monkeypatch):
     assert 0 < sum(dealt) <= 8 * len(rows)
 
 
+@pytest.mark.parametrize("rows", [0, 1, 7])
+def test_kept_tables_know_their_rows(spark, rows):
+    table = store.keep(spark.range(7).where(f"id < {rows}").repartition(3, "id"))
+    assert table.kept_rows == table.count() == rows
+    wide = table.select("id", F.lit(1))
+    assert ("ResolvedHint" in str(store.sized_broadcast(wide, 2, table=table)._jdf.queryExecution().analyzed())) == (rows <= 2)
+
+
 def test_join_of_one_text(spark):
     got = jaccard.similarity_groups(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), jaccard.Rule(4, 85, 100))
     assert [tuple(r) for r in got.collect()] == [(1, 3, 1)]
