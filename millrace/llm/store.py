@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import itertools
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +42,22 @@ def small_batches(spark: SparkSession) -> None:
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Tables written between two calls of ``tidy``.
+TIDY = 12
+
+_written = itertools.count(1)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Give back what the driver no longer uses. Each scan and stage leaves a broadcast in it that goes only when garbage
+    is collected, which the JVM puts off by taking more memory; Python keeps freed memory for itself."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+    spark._jvm.System.gc()
+
+
 def keep(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again: cuts lineage and survives lost executors.
 
@@ -55,6 +75,8 @@ def keep(df: DataFrame, name: str = "table") -> DataFrame:
         spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.kept_at, out.kept_rows = path, written.get["n"]
+    if next(_written) % TIDY == 0:
+        tidy(spark)
     return out
 
 

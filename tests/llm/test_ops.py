@@ -176,6 +176,14 @@ def test_kept_tables_know_their_rows(spark, rows):
     assert ("ResolvedHint" in str(store.sized_broadcast(wide, 2, table=table)._jdf.queryExecution().analyzed())) == (rows <= 2)
 
 
+def test_garbage_is_collected_between_tables(spark, monkeypatch):
+    calls, tidy = [], store.tidy
+    monkeypatch.setattr(store, "tidy", lambda s: calls.append(s) or tidy(s))
+    for _ in range(2 * store.TIDY):
+        store.keep(spark.range(1))
+    assert len(calls) == 2
+
+
 def test_join_of_one_text(spark):
     got = jaccard.similarity_groups(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), jaccard.Rule(4, 85, 100))
     assert [tuple(r) for r in got.collect()] == [(1, 3, 1)]
