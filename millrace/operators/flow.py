@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import seconds, truthy
-from ..streaming import lowering
+from ..streaming import chunks, lowering
 from . import ordered, steps
 
 
@@ -184,11 +184,6 @@ class Flow:
             return self._next(ordered.running(self.df, self.seq, column, count=("count", F.lit(1))), "frequencies")
         return self._next(self.df.groupBy(column).count(), "frequencies")
 
-    def _arrays(self, step: steps.Step, column: str, name: str) -> Flow:
-        """Arrays that a step function makes of a stream's elements."""
-        out = lowering.sequence(self.df, self.seq, step, f"array<{dict(self.df.dtypes)[column]}>", lambda row: row[column], self.key)
-        return self._next(out.withColumnRenamed("result", "values"), name, seq="seq", batch=None)
-
     # Windows of events
 
     def slice(self, start: int | None = None, end: int | None = None, step: int | None = None) -> Flow:
@@ -196,7 +191,7 @@ class Flow:
         if any(x is not None and x < 0 for x in (start, end, step)):
             raise ValueError("places can't be negative")
         if self.df.isStreaming:
-            return self._next(lowering.whole_rows(self.df, self.seq, steps.taken(start or 0, end, step), self.key), "slice")
+            return self._next(lowering.whole_rows(self.df, self.seq, chunks.taken(start or 0, end, step), self.key), "slice")
         p = ordered.position(self.df, self.seq, "_pos")
         keep = F.col("_pos") >= (start or 0)
         if end is not None:
@@ -210,7 +205,7 @@ class Flow:
         if self.df.isStreaming:
             if keep_partial:
                 raise ValueError("a stream has no last part")
-            return self._arrays(steps.partition(n), column, "partition")
+            return self._next(lowering.partition(self.df, self.seq, column, n, self.key), "partition", seq="seq", batch=None)
         p = ordered.position(self.df, self.seq, "_pos", self.key).withColumn("part", F.floor(F.col("_pos") / n))
         keys = [self.key] if self.key else []
         g = p.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(F.struct(F.col(self.seq).alias("s"), F.col(column).alias("v")))).alias("_x"))
@@ -224,7 +219,7 @@ class Flow:
     def sliding_window(self, n: int, column: str = "value", return_partial: bool = True) -> Flow:
         """Array of the last n elements at each row."""
         if self.df.isStreaming:
-            return self._arrays(steps.sliding_window(n, return_partial), column, "sliding_window")
+            return self._next(lowering.sliding_window(self.df, self.seq, column, n, return_partial, self.key), "sliding_window", seq="seq", batch=None)
         if self.key:
             rows, own, parts = self.df, F.lit(True), [self.key]
         else:
@@ -317,7 +312,7 @@ class Flow:
             emit_on = [emit_on]
         if self.df.isStreaming:
             sides = [(o.df, o.seq) for o in (self, *others)]
-            return self._next(lowering.latest(sides, steps.combine_latest(n, emit_on), column), "combine_latest", *others, seq="seq", key=None, batch=None)
+            return self._next(lowering.latest(sides, lambda values: chunks.combine_latest(values, emit_on), column), "combine_latest", *others, seq="seq", key=None, batch=None)
         out = self._latest(self._tagged(others, column), n, "seq")
         out = out.where(reduce(lambda a, b: a & b, (F.col(f"_{k}").isNotNull() for k in range(n))))
         if emit_on is not None:
@@ -329,7 +324,7 @@ class Flow:
         n = len(others) + 1
         if self.df.isStreaming:
             sides = [(o.df, o.seq) for o in (self, *others)]
-            return self._next(lowering.latest(sides, steps.zip_latest(n), column), "zip_latest", *others, seq="seq", key=None, batch=None)
+            return self._next(lowering.latest(sides, chunks.zip_latest, column), "zip_latest", *others, seq="seq", key=None, batch=None)
         firsts = [o.df.agg(F.min(o.seq).alias("m")).first()["m"] for o in others]
         rows = self._tagged(others, column)
         if any(m is None for m in firsts):
@@ -363,9 +358,7 @@ class Flow:
         """Arrays of what came since the last flush; rows for which ``flush`` holds are the flushes and give no element."""
         if self.df.isStreaming:
             df = self.df.withColumn("_f", F.coalesce(flush, F.lit(False)))
-            kind = f"array<{dict(self.df.dtypes)[column]}>"
-            out = lowering.sequence(df, self.seq, steps.collect(), kind, lambda row: (row["_f"], row[column]), self.key)
-            return self._next(out.withColumnRenamed("result", "values"), "collect", seq="seq", batch=None)
+            return self._next(lowering.collect(df, self.seq, "_f", column, self.key), "collect", seq="seq", batch=None)
         marked = self.df.withColumn("_f", F.coalesce(flush, F.lit(False)).cast("long"))
         epochs = ordered.running(marked, self.seq, _epoch=("sum", F.col("_f"))).withColumn("epoch", F.col("_epoch") - F.col("_f"))
         g = epochs.groupBy("epoch").agg(

@@ -492,21 +492,19 @@ class Rolling:
 
     def agg(self, kind: str, q: float = 0.5) -> FlowFrame:
         f = self.frame
+        least = self.min_periods if self.min_periods is not None else self.window if isinstance(self.window, int) else 1
         if f.df.isStreaming:
             cols = [c for c in f.columns if c != self.ts]
-            least = self.min_periods if self.min_periods is not None else self.window if isinstance(self.window, int) else 1
             of = {"n": self.window} if isinstance(self.window, int) else {"ts": self.ts, "width": seconds(self.window)}
-            return FlowFrame(lowering.rolling(f.df, f.seq, cols, plain(kind, q), "bigint" if kind == "count" else "double", least=least, **of), "seq")
+            return FlowFrame(lowering.rolling(f.df, f.seq, cols, kind, least=least, q=q, **of), "seq")
         if isinstance(self.window, int):
             rows, own, block = ordered.halo(ordered.position(f.df, f.seq, "_pos"), "_pos", self.window)
             w = W.partitionBy(block).orderBy("_pos").rowsBetween(1 - self.window, 0)
-            least = self.window if self.min_periods is None else self.min_periods
         else:
             width = seconds(self.window)
             rows, own, block = ordered.time_halo(f.df, self.ts, width)
             rows = rows.withColumn("_t", F.unix_micros(F.col(self.ts).cast("timestamp")))
             w = W.partitionBy(block).orderBy("_t").rangeBetween(-(int(width * 1e6) - 1), 0)
-            least = 1 if self.min_periods is None else self.min_periods
         made = {}
         for c in f.columns:
             if c == self.ts:
@@ -525,29 +523,6 @@ class Rolling:
         raise AttributeError(name)
 
 
-def plain(kind: str, q: float = 0.5):
-    """A window's aggregate on a list of numbers."""
-    import statistics
-
-    def quantile(x: list) -> float:
-        x = sorted(map(float, x))
-        at = q * (len(x) - 1)
-        k = int(at)
-        return x[k] + (x[min(k + 1, len(x) - 1)] - x[k]) * (at - k)
-
-    return {
-        "sum": lambda x: float(sum(x)),
-        "mean": lambda x: float(sum(x) / len(x)),
-        "min": lambda x: float(min(x)),
-        "max": lambda x: float(max(x)),
-        "count": len,
-        "median": lambda x: float(statistics.median(x)),
-        "var": lambda x: float(statistics.variance(x)) if len(x) > 1 else None,
-        "std": lambda x: float(statistics.stdev(x)) if len(x) > 1 else None,
-        "quantile": quantile,
-    }[kind]
-
-
 @dataclass
 class BatchWindow:
     """Windows at each batch's end: the last n rows, or the last T of time, over all rows."""

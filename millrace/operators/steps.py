@@ -1,19 +1,19 @@
 """Sequential operators as step functions, one code for bounded tables and for streams.
 
 A step takes (state, element) and returns (state, list of results). Bounded tables run a step over each key's rows in
-order (a grouped map); streams run it in a stateful processor. Without a key all rows are one sequence.
+order, batch by batch; streams run it in a stateful processor (``millrace.streaming.chunks``). Without a key all rows are one sequence.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections import OrderedDict, deque
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StructField, StructType, _parse_datatype_string
 
 Step = Callable[[Any, Any], tuple[Any, list]]
 EMPTY = "__empty__"
@@ -99,138 +99,43 @@ def last_n(n: int, fn: Callable[[list], Any]) -> Step:
     return step
 
 
-def zip_sides(n_sides: int) -> Step:
-    """Elements (side, value): tuples of one value of each side, by position."""
-
-    def step(state, x):
-        queues = [list(q) for q in (state or [[]] * n_sides)]
-        queues[x[0]].append(x[1])
-        if all(queues):
-            return [q[1:] for q in queues], [tuple(q[0] for q in queues)]
-        return queues, []
-
-    return step
-
-
-def combine_latest(n_sides: int, emit_on: list[int] | None = None) -> Step:
-    """Elements (side, value, seq): the latest of all sides, at each element or at those of some sides."""
-
-    def step(state, x):
-        state = dict(state or {})
-        state[x[0]] = x[1]
-        full = len(state) == n_sides and (emit_on is None or x[0] in emit_on)
-        return state, [[x[2], *(state[k] for k in range(n_sides))]] if full else []
-
-    return step
-
-
-def zip_latest(n_sides: int) -> Step:
-    """Elements (side, value, seq): each of side 0 once, with the others' latest; early ones wait for the others' first."""
-
-    def step(state, x):
-        others, waiting = state or ({}, [])
-        others, waiting = dict(others), list(waiting)
-        if x[0]:
-            others[x[0]] = x[1]
-        else:
-            waiting.append((x[2], x[1]))
-        if len(others) < n_sides - 1:
-            return (others, waiting), []
-        return (others, []), [[s, v, *(others[k] for k in range(1, n_sides))] for s, v in waiting]
-
-    return step
-
-
-def collect() -> Step:
-    """Elements (flush, value): a list of the values since the last flush at each flush."""
-
-    def step(state, x):
-        return ([], [state or []]) if x[0] else ([*(state or []), x[1]], [])
-
-    return step
-
-
-def taken(start: int = 0, end: int | None = None, every: int | None = None) -> Step:
-    """Elements by place, counted from the first."""
-
-    def step(state, x):
-        k = state or 0
-        return k + 1, [x] if k >= start and (end is None or k < end) and (not every or k % every == 0) else []
-
-    return step
-
-
-_RUN: dict[str, Callable[[Any, Any], Any]] = {"sum": lambda a, x: a + x, "product": lambda a, x: a * x, "min": min, "max": max, "count": lambda a, x: a + 1}
-
-
-def running(kinds: list[str]) -> Step:
-    """Elements are tuples: a running fold of each item, nulls skipped (and null where the item is)."""
-
-    def step(state, x):
-        state = list(state or [None] * len(kinds))
-        for k, (kind, v) in enumerate(zip(kinds, x, strict=True)):
-            if v is not None:
-                state[k] = 1 if state[k] is None and kind == "count" else v if state[k] is None else _RUN[kind](state[k], v)
-        return state, [[s if v is not None or kind == "count" else None for s, v, kind in zip(state, x, kinds, strict=True)]]
-
-    return step
-
-
-def rolling(fn: Callable[[list], Any], n: int | None = None, width: float | None = None, least: int = 1) -> Step:
-    """Elements (time, items): ``fn`` of each item's values in the last n rows, or in (t - width, t]; null for fewer than
-    ``least`` values."""
-
-    def step(state, x):
-        state = [*(state or []), x]
-        state = state[-n:] if n else [y for y in state if y[0] > x[0] - width]
-        out = []
-        for k in range(len(x[1])):
-            some = [y[1][k] for y in state if y[1][k] is not None]
-            out.append(fn(some) if len(some) >= least else None)
-        return state, [out]
-
-    return step
-
-
 def run_bounded(df: DataFrame, seq: str, step: Step, result: str, value: Callable[[dict], Any], key: str | None = None) -> DataFrame:
-    """(key, seq, nth, result) of each result; nth counts results of one element."""
-    kind = f"{key} {df.schema[key].dataType.simpleString()}, " if key else ""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        state, rows = None, []
-        frame = frame.sort_values(seq)
-        for row in frame.astype(object).where(frame.notna(), None).to_dict("records"):
-            state, out = step(state, value(row))
-            rows += [(*((row[key],) if key else ()), row[seq], k, r) for k, r in enumerate(out)]
-        return pd.DataFrame(rows, columns=[*((key,) if key else ()), "seq", "nth", "result"])
-
-    grouped = df.groupBy(key) if key else df.withColumn("_all", F.lit(1)).groupBy("_all")
-    return grouped.applyInPandas(run, f"{kind}seq {df.schema[seq].dataType.simpleString()}, nth int, result {result}")
-
-
-def run_stream(df: DataFrame, seq: str, step: Step, result: str, value: Callable[[dict], Any], key: str) -> DataFrame:
-    """The same over a stream: state by key in the state store; rows of a micro-batch are taken in order of ``seq``."""
-    from pyspark.sql.streaming import StatefulProcessor
-
-    class Processor(StatefulProcessor):
-        def init(self, handle) -> None:
-            self.state = handle.getValueState("state", "data binary")
-
-        def handleInputRows(self, k, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-            state = pickle.loads(self.state.get()[0]) if self.state.exists() else None
-            out = []
-            frame = pd.concat(list(rows)).rename(columns=names).sort_values(seq)
-            for row in frame.astype(object).where(frame.notna(), None).to_dict("records"):
-                state, got = step(state, value(row))
-                out += [(k[0], row[seq], j, r) for j, r in enumerate(got)]
-            self.state.update((pickle.dumps(state),))
-            yield pd.DataFrame(out, columns=[key, "seq", "nth", "result"])
-
-        def close(self) -> None:
-            pass
-
-    kind = f"{key} {df.schema[key].dataType.simpleString()}, seq {df.schema[seq].dataType.simpleString()}, nth int, result {result}"
-    # Plain names on the way: the stateful processor's rows lose names that begin with an underscore.
-    names = {f"c{k}": c for k, c in enumerate(df.columns)}
-    plain = df.toDF(*names)
-    return plain.groupBy(next(n for n, c in names.items() if c == key)).transformWithStateInPandas(Processor(), outputStructType=kind, outputMode="append", timeMode="none")
+    """(key, seq, nth, result) of each result; nth counts results of one element. Rows of a key come sorted, batch by batch,
+    so that a task holds one batch and one state, however many rows a key has."""
+    kinds = [*([StructField(key, df.schema[key].dataType)] if key else []), StructField("seq", df.schema[seq].dataType), StructField("nth", IntegerType()), StructField("result", _parse_datatype_string(result))]
+    schema = StructType(kinds)
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, last = None, ()
+        for batch in batches:
+            at, nth, results = [], [], []
+            for k, row in enumerate(records(batch)):
+                if key and (row[key],) != last:
+                    state, last = None, (row[key],)
+                state, out = step(state, value(row))
+                at += [k] * len(out)
+                nth += range(len(out))
+                results += out
+            some = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*([some[key]] if key else []), some[seq], pa.array(nth, pa.int32()), typed(results, arrow.field("result").type)], names=arrow.names)
+
+    dealt = df.repartition(key) if key else df.repartition(1)
+    return dealt.sortWithinPartitions(*([key] if key else []), seq).mapInArrow(run, schema)
+
+
+def records(t: pa.Table | pa.RecordBatch) -> Iterator[dict]:
+    """Rows as dicts of Python's values; not a number is null."""
+    columns = []
+    for x in t.columns:
+        v = x.to_pylist()
+        columns.append([None if y != y else y for y in v] if pa.types.is_floating(x.type) else v)
+    return (dict(zip(t.schema.names, r, strict=True)) for r in zip(*columns, strict=True))
+
+
+def typed(values: list, kind: pa.DataType) -> pa.Array:
+    """Results as the declared type, by a cast where they are of another (a decimal for a double)."""
+    try:
+        return pa.array(values, kind)
+    except (pa.ArrowInvalid, pa.ArrowTypeError):
+        return pa.array(values).cast(kind)
