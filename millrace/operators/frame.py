@@ -497,6 +497,10 @@ class Rolling:
             cols = [c for c in f.columns if c != self.ts]
             of = {"n": self.window} if isinstance(self.window, int) else {"ts": self.ts, "width": seconds(self.window)}
             return FlowFrame(lowering.rolling(f.df, f.seq, cols, kind, least=least, q=q, **of), "seq")
+        if not isinstance(self.window, int) and kind in ordered.MERGED:
+            cols = [c for c in f.columns if c != self.ts]
+            out = ordered.rolling_time(f.df, self.ts, int(seconds(self.window) * 1e6), kind, cols, least)
+            return f._next(out.select(*f._kept(), *(F.col(f"_o_{c}").alias(c) for c in cols)))
         if isinstance(self.window, int):
             rows, own, block = ordered.halo(ordered.position(f.df, f.seq, "_pos"), "_pos", self.window)
             w = W.partitionBy(block).orderBy("_pos").rowsBetween(1 - self.window, 0)

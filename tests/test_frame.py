@@ -124,3 +124,28 @@ def test_user_aggregation(spark):
     assert sorted(tuple(r) for r in f.aggregate(Count(), "b long, n long").collect()) == [(0, 4), (1, 8), (2, 10)]
     assert sorted(tuple(r) for r in f.aggregate(Count(), "b long, n long", start=100).collect()) == [(0, 104), (1, 108), (2, 110)]
     assert sorted(tuple(r) for r in f.groupby("key").aggregate(Count(), "b long, key string, n long").collect())[-1] == (2, "b", 5)
+
+
+@pytest.mark.parametrize("kind", ["max"])
+@pytest.mark.parametrize("hours", [1, 30, 10_000])
+def test_rolling_time_over_many_ranges(spark, monkeypatch, kind, hours):
+    """Windows within a range, over several and over all; times of several rows, no time, no value. No window frames."""
+    from decimal import Decimal
+
+    from pyspark.sql import functions as F
+
+    from millrace.operators import ordered
+
+    monkeypatch.setattr(ordered, "SHARE", 5)
+    rows = [(k, None if k % 31 == 7 else k * 53 % 97 * (1 if k % 97 < 60 else 40), None if k % 9 == 4 else Decimal(k * 17 % 101) / 4) for k in range(300)]
+    df = spark.createDataFrame(rows, "seq long, h long, x decimal(18,2)").select("seq", F.timestamp_seconds(F.col("h") * 3600).alias("ts"), "x")
+    out = FlowFrame(df, "seq").rolling(f"{hours}h", ts="ts").agg(kind).df
+    assert "Window" not in out._jdf.queryExecution().toString()
+    got = {r.seq: r.x for r in out.collect()}
+    for seq, h, _ in rows:
+        some = pd.Series([float(x) for _, t, x in rows if x is not None and (t == h if h is None or t is None else h - hours < t <= h)], dtype=float)
+        want = getattr(some, kind)() if len(some) else 0 if kind == "count" else None
+        if want is None or want != want:
+            assert got[seq] is None
+        else:
+            assert float(got[seq]) == pytest.approx(want)
