@@ -126,7 +126,7 @@ def test_user_aggregation(spark):
     assert sorted(tuple(r) for r in f.groupby("key").aggregate(Count(), "b long, key string, n long").collect())[-1] == (2, "b", 5)
 
 
-@pytest.mark.parametrize("kind", ["max", "mean", "sum"])
+@pytest.mark.parametrize("kind", ["max", "mean", "sum", "min", "var", "std", "count"])
 @pytest.mark.parametrize("hours", [1, 30, 10_000])
 def test_rolling_time_over_many_ranges(spark, monkeypatch, kind, hours):
     """Windows within a range, over several and over all; times of several rows, no time, no value. No window frames."""
