@@ -118,3 +118,15 @@ def test_stream_by_time_equals_table(spark, tmp_path):
     live = FlowFrame(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "seq").rolling("2h", ts="ts").mean()
     rows = lambda d: sorted((r.seq, round(r.x, 9)) for r in d.select("seq", "x").collect())
     assert rows(drained(live.df)) == rows(FlowFrame(df, "seq").rolling("2h", ts="ts").mean().df)
+
+
+def of_last(rows, i, kind):
+    s = pd.Series([y["x"] for y in rows[max(0, i - 6) : i + 1]], dtype=float)
+    got = getattr(s, kind)() if s.count() else 0 if kind == "count" else None
+    return int(got) if kind == "count" else None if got is None or got != got else float(got)
+
+
+def test_rolling_n_var():
+    op = chunks.rolling({"x": "x"}, "var", pa.float64() if "var" != "count" else pa.int64(), ["seq"], n=7, least=1)
+    check(op, lambda rows: [{"seq": r["seq"], "x": of_last(rows, i, "var")} for i, r in enumerate(rows)])
+    flat(op)
