@@ -136,3 +136,9 @@ def test_running_sum():
     op = chunks.running({"n": ("sum", "n")}, ["seq"])
     check(op, lambda rows: [{"seq": r["seq"], "n": int(v)} for r, v in zip(rows, pd.Series([r["n"] for r in rows]).cumsum(), strict=True)])
     flat(op)
+
+
+def test_rolling_n_sum():
+    op = chunks.rolling({"x": "x"}, "sum", pa.float64() if "sum" != "count" else pa.int64(), ["seq"], n=7, least=1)
+    check(op, lambda rows: [{"seq": r["seq"], "x": of_last(rows, i, "sum")} for i, r in enumerate(rows)])
+    flat(op)
