@@ -148,3 +148,9 @@ def test_running_min():
     op = chunks.running({"n": ("min", "n")}, ["seq"])
     check(op, lambda rows: [{"seq": r["seq"], "n": int(v)} for r, v in zip(rows, pd.Series([r["n"] for r in rows]).cummin(), strict=True)])
     flat(op)
+
+
+def test_rolling_n_mean():
+    op = chunks.rolling({"x": "x"}, "mean", pa.float64() if "mean" != "count" else pa.int64(), ["seq"], n=7, least=1)
+    check(op, lambda rows: [{"seq": r["seq"], "x": of_last(rows, i, "mean")} for i, r in enumerate(rows)])
+    flat(op)
