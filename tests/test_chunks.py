@@ -154,3 +154,9 @@ def test_rolling_n_mean():
     op = chunks.rolling({"x": "x"}, "mean", pa.float64() if "mean" != "count" else pa.int64(), ["seq"], n=7, least=1)
     check(op, lambda rows: [{"seq": r["seq"], "x": of_last(rows, i, "mean")} for i, r in enumerate(rows)])
     flat(op)
+
+
+def test_rolling_n_median():
+    op = chunks.rolling({"x": "x"}, "median", pa.float64() if "median" != "count" else pa.int64(), ["seq"], n=7, least=1)
+    check(op, lambda rows: [{"seq": r["seq"], "x": of_last(rows, i, "median")} for i, r in enumerate(rows)])
+    flat(op)
