@@ -166,3 +166,9 @@ def test_running_max():
     op = chunks.running({"n": ("max", "n")}, ["seq"])
     check(op, lambda rows: [{"seq": r["seq"], "n": int(v)} for r, v in zip(rows, pd.Series([r["n"] for r in rows]).cummax(), strict=True)])
     flat(op)
+
+
+def test_rolling_n_count():
+    op = chunks.rolling({"x": "x"}, "count", pa.float64() if "count" != "count" else pa.int64(), ["seq"], n=7, least=1)
+    check(op, lambda rows: [{"seq": r["seq"], "x": of_last(rows, i, "count")} for i, r in enumerate(rows)])
+    flat(op)
