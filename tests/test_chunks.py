@@ -172,3 +172,17 @@ def test_rolling_n_count():
     op = chunks.rolling({"x": "x"}, "count", pa.float64() if "count" != "count" else pa.int64(), ["seq"], n=7, least=1)
     check(op, lambda rows: [{"seq": r["seq"], "x": of_last(rows, i, "count")} for i, r in enumerate(rows)])
     flat(op)
+
+
+def test_running_of_several():
+    op = chunks.running({"s": ("sum", "x"), "k": ("count", "x")}, ["seq"])
+
+    def want(rows):
+        total, k = 0.0, 0
+        for r in rows:
+            k += r["x"] is not None
+            total += r["x"] or 0
+            yield {"seq": r["seq"], "s": None if r["x"] is None else total, "k": k}
+
+    check(op, lambda rows: list(want(rows)))
+    flat(op)
