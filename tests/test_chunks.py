@@ -186,3 +186,9 @@ def test_running_of_several():
 
     check(op, lambda rows: list(want(rows)))
     flat(op)
+
+
+def test_running_count():
+    op = chunks.running({"count": ("count", "seq")}, ["seq"])
+    check(op, lambda rows: [{"seq": r["seq"], "count": k + 1} for k, r in enumerate(rows)])
+    flat(op)
