@@ -192,3 +192,10 @@ def test_running_count():
     op = chunks.running({"count": ("count", "seq")}, ["seq"])
     check(op, lambda rows: [{"seq": r["seq"], "count": k + 1} for k, r in enumerate(rows)])
     flat(op)
+
+
+def test_sliding_window():
+    op = chunks.sliding_window("n", 4, ["seq"])
+    check(op, lambda rows: [{"seq": r["seq"], "values": [y["n"] for y in rows[max(0, k - 3) : k + 1]]} for k, r in enumerate(rows)])
+    check(chunks.sliding_window("n", 4, ["seq"], False), lambda rows: [{"seq": rows[k]["seq"], "values": [y["n"] for y in rows[k - 3 : k + 1]]} for k in range(3, len(rows))])
+    flat(op)
