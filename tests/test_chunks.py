@@ -199,3 +199,18 @@ def test_sliding_window():
     check(op, lambda rows: [{"seq": r["seq"], "values": [y["n"] for y in rows[max(0, k - 3) : k + 1]]} for k, r in enumerate(rows)])
     check(chunks.sliding_window("n", 4, ["seq"], False), lambda rows: [{"seq": rows[k]["seq"], "values": [y["n"] for y in rows[k - 3 : k + 1]]} for k in range(3, len(rows))])
     flat(op)
+
+
+def test_collect():
+    def want(rows):
+        some = []
+        for r in rows:
+            if r["f"]:
+                yield {"seq": r["seq"], "values": some}
+                some = []
+            else:
+                some.append(r["n"])
+
+    op = chunks.collect("f", "n", ["seq"])
+    check(op, lambda rows: list(want(rows)))
+    flat(op)
