@@ -214,3 +214,17 @@ def test_collect():
     op = chunks.collect("f", "n", ["seq"])
     check(op, lambda rows: list(want(rows)))
     flat(op)
+
+
+def latest(rows, emit=(0, 1)):
+    now = {}
+    for r in rows:
+        now[r["side"]] = r["n"]
+        if len(now) == 2 and r["side"] in emit:
+            yield {"seq": r["seq"], "_0": now[0], "_1": now[1]}
+
+
+def test_combine_latest():
+    op = chunks.combine_latest(["n", "n"], None)
+    check(op, lambda rows: list(latest(rows)))
+    flat(op)
