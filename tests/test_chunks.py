@@ -228,3 +228,9 @@ def test_combine_latest():
     op = chunks.combine_latest(["n", "n"], None)
     check(op, lambda rows: list(latest(rows)))
     flat(op)
+
+
+def test_combine_latest_emit_on():
+    op = chunks.combine_latest(["n", "n"], [0])
+    check(op, lambda rows: list(latest(rows, (0,))))
+    flat(op)
