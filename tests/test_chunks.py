@@ -234,3 +234,20 @@ def test_combine_latest_emit_on():
     op = chunks.combine_latest(["n", "n"], [0])
     check(op, lambda rows: list(latest(rows, (0,))))
     flat(op)
+
+
+def test_zip_latest():
+    def want(rows):
+        now, waiting = None, []
+        for r in rows:
+            if r["side"]:
+                now = r["n"]
+            else:
+                waiting.append(r)
+            if now is not None:
+                yield from ({"seq": w["seq"], "_0": w["n"], "_1": now} for w in waiting)
+                waiting = []
+
+    op = chunks.zip_latest(["n", "n"])
+    check(op, lambda rows: list(want(rows)))
+    flat(op)
