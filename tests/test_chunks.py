@@ -251,3 +251,9 @@ def test_zip_latest():
     op = chunks.zip_latest(["n", "n"])
     check(op, lambda rows: list(want(rows)))
     flat(op)
+
+
+def test_partition():
+    op = chunks.partition("n", 7, ["seq"])
+    check(op, lambda rows: [{"seq": rows[k + 6]["seq"], "values": [y["n"] for y in rows[k : k + 7]]} for k in range(0, len(rows) - 6, 7)])
+    flat(op)
