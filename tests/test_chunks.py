@@ -257,3 +257,12 @@ def test_partition():
     op = chunks.partition("n", 7, ["seq"])
     check(op, lambda rows: [{"seq": rows[k + 6]["seq"], "values": [y["n"] for y in rows[k : k + 7]]} for k in range(0, len(rows) - 6, 7)])
     flat(op)
+
+
+def test_zip():
+    def want(rows):
+        a, b = ([r for r in rows if r["side"] == k] for k in (0, 1))
+        return [{"seq": max(x["seq"], y["seq"]), "_0": x["n"], "_1": y["n"]} for x, y in zip(a, b, strict=False)]
+
+    check(chunks.zipped(["n", "n"], ["_0", "_1"]), want)
+    flat(chunks.zipped(["n", "n"], ["_0", "_1"]))
