@@ -178,3 +178,11 @@ def test_streams_carry_state_over_micro_batches(spark, tmp_path):
     assert rows(drained(live.accumulate("sum", name="t").df.select("seq", "t"))) == rows(table.accumulate("sum", name="t").df.select("seq", "t"))
     flush = F.col("value") == 0
     assert rows(drained(live.collect(flush).df.select("seq", "values"))) == rows(table.collect(flush).df.select("seq", "values"))
+
+
+def test_python_fold_streams_through_a_key(spark):
+    """No grouped map, which would hold all of a key's rows; a key over many batches keeps its state, a new one starts anew."""
+    df = spark.range(30_000).select(F.col("id").alias("seq"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("k"), F.lit(1).cast("long").alias("value"))
+    f = Flow(df.repartition(7), key="k").accumulate(lambda a, x: a + x, "value", 0, "bigint")
+    assert "FlatMapGroups" not in f.df._jdf.queryExecution().toString()
+    assert all(r.result == r.seq // 3 + 1 for r in f.df.collect())
