@@ -12,6 +12,7 @@ import tokenize
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -59,8 +60,6 @@ class Series:
         return self._of(self.col.isin(*values))
 
     def map(self, fn, kind: str, na_action: str | None = None) -> Series:
-        import pandas as pd
-
         @F.pandas_udf(kind)
         def apply(x: pd.Series) -> pd.Series:
             return x.map(fn, na_action=na_action)
@@ -468,17 +467,52 @@ class Grouped:
         batch, seq, names, cols = f.batch, f.seq, list(self.names), self._columns()
         fields = [x.name for x in self.frame.df.sparkSession.createDataFrame([], schema).schema]
 
-        def run(frame):
-            state, out = start, []
-            for b, rows in frame.sort_values([batch, seq]).groupby(batch, sort=True):
+        more = [c for c in fields if c != batch and c not in names]
+
+        def run(frames):
+            """Rows come by key, batch and order; a task holds those of one Arrow batch and of the batch that is open."""
+            state, last, rest = start, None, []
+            for frame in frames:
+                if not len(frame):
+                    continue
+                new = (frame[by] != frame[by].shift()).any(axis=1).to_numpy()
+                new[0] = not rest or tuple(rest[-1][by].iloc[-1]) != tuple(frame[by].iloc[0])
+                at = new.nonzero()[0].tolist()
+                if not at:  # all of it belongs to the open batch
+                    rest.append(frame)
+                    continue
+                parts = [*rest, frame.iloc[: at[0]]] if at[0] else rest
+                done = [pd.concat(parts) if len(parts) > 1 else parts[0]] if parts else []
+                done += [frame.iloc[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+                rest = [frame.iloc[at[-1] :]]
+                if done:
+                    out, state, last = fold(done, state, last)
+                    yield out
+            if rest:
+                yield fold([pd.concat(rest)], state, last)[0]
+
+        def fold(batches, state, last):
+            made, whole = {c: [] for c in fields}, []
+            for rows in batches:
+                first = {c: rows[c].iat[0] for c in by}
+                key = tuple(first[k] for k in ks)
+                if key != last:
+                    state, last = start, key
                 some = rows[cols].reset_index(drop=True)
                 state = agg.initial(some.iloc[:0]) if state is None else state
                 state, result = agg.on_new(state, some)
-                got = result if hasattr(result, "columns") else type(frame)({next(c for c in fields if c != batch and c not in names): [result]})
-                out.append(got.assign(**{batch: b}, **{n: rows[k].iloc[0] for k, n in zip(ks, names, strict=True) if n in fields}))
-            return type(frame)({c: [v for x in out for v in x[c]] for c in fields})
-
-        return self._rows().groupBy(*ks).applyInPandas(lambda x: run(x), schema)
+                given = {batch: first[batch]} | {n: first[k] for k, n in zip(ks, names, strict=True) if n in fields}
+                if hasattr(result, "columns"):
+                    whole.append(result.assign(**given))
+                    continue
+                for c, v in (given | {more[0]: result}).items():
+                    made[c].append(v)
+            frames = [x[fields] for x in whole] + ([pd.DataFrame(made)] if made[batch] else [])
+            return pd.concat(frames) if len(frames) > 1 else frames[0] if frames else pd.DataFrame(made), state, last
+
+        by = [*ks, batch]
+        rows = self._rows().select(*dict.fromkeys([*by, seq, *cols]))
+        return rows.repartition(*ks).sortWithinPartitions(*by, seq).mapInPandas(lambda x: run(x), schema)
 
 
 @dataclass

@@ -149,3 +149,20 @@ def test_rolling_time_over_many_ranges(spark, monkeypatch, kind, hours):
             assert got[seq] is None
         else:
             assert float(got[seq]) == pytest.approx(want)
+
+
+def test_user_aggregation_streams_through_a_key(spark):
+    """No grouped map, which would hold all of a key's rows; batches that span Arrow batches stay whole."""
+    from pyspark.sql import functions as F
+
+    class Rows:
+        def initial(self, rows):
+            return 0
+
+        def on_new(self, state, rows):
+            return state + len(rows), state + len(rows)
+
+    df = spark.range(50_000).select(F.col("id").alias("seq"), F.floor(F.col("id") / 25_000).alias("b"), F.when(F.col("id") % 2 == 0, "a").otherwise("z").alias("key"))
+    out = FlowFrame(df.repartition(5), "seq", batch="b").groupby("key").aggregate(Rows(), "b long, key string, n long")
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+    assert sorted(tuple(r) for r in out.collect()) == [(0, "a", 12_500), (0, "z", 12_500), (1, "a", 25_000), (1, "z", 25_000)]
